@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, content_sort, fm_index, secrets, simhash, toxicity
-from .common import crc_bucket, table
+from . import bpe, chunking, compaction, content_sort, context_mixing, fm_index, quality, secrets, simhash, toxicity
+from .common import crc_bucket, shared_dir, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -23,6 +23,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 7) == 2)
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,6 +46,32 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, stats = quality.kept(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    held = crc_bucket("doc_id", 3) == 1
+    model = quality.fit(rows.where(~held), table(spark, sf_dir, "labels"), stats)
+    scored, score = quality.score(rows, model, stats)
+    return scored.select("doc_id", held.alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of documents arrive in up to four batches; the rows of the last version, each with its shard's figures."""
+    docs = table(spark, sf_dir, "documents")
+    files = sorted(docs.inputFiles())
+    store = compaction.Store(spark, shared_dir(spark))
+    arrivals = [files[k :: min(4, len(files))] for k in range(min(4, len(files)))]
+    for own in arrivals:
+        store.append(spark.read.schema(docs.schema).parquet(*own))
+    version = store.compact()
+    figures = store.figures(version)
+    return store.read(version, docs.schema).select("doc_id", F.length("text").alias("chars"), F.lit(version).alias("version"), *figures)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold no repeated passage have no row."""
+    return chunking.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out, ids, decoded = bpe.round_trip(docs, tokenizer_path())
@@ -68,3 +98,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

@@ -1,7 +1,7 @@
 """Toxicity with a convolutional text classifier trained in numpy.
 
-A word (ASCII lower-cased, letters, digits and non-ASCII only) is the sum of two
-rows of a hashed embedding table. Filters of several widths slide over a whole
+A word (ASCII lower-cased, letters, digits and non-ASCII only) is the sum of the
+rows that it and its beginnings have in a hashed embedding table. Filters of several widths slide over a whole
 text, each keeps its maximum, and a linear layer scores the maxima. Rows of the
 table that no training word touched stay zero, so unknown words are neutral.
 Decision thresholds are calibrated for each language on labelled training rows;
@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from .common import WORD_TABLE, annotate, fresh
 
 BITS, DIM, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 8
+#: Bytes of a word that its table rows are hashed from: beginnings, and the whole of it (words are cut nowhere).
+PARTS = (4, 5, 6, 1 << 30)
 TRAIN_ROWS, TRAIN_WORDS = 6_000, 3_000_000
 EPOCHS, BATCH = 8, 32
 #: Words scored at a time; neighbouring blocks share the words that a filter may straddle.
@@ -36,18 +38,24 @@ BLOCK = 100_000
 CACHE = 400_000
 
 
-class Hasher(dict):
-    """word to its two table rows, packed in one number."""
+def rows_of(word: bytes) -> tuple[int, ...]:
+    """Table rows of a word: its own, and those of its beginnings (inflected forms share them)."""
+    mask = (1 << BITS) - 1
+    return tuple(xxhash.xxh3_64_intdigest(word[:n], n) & mask for n in PARTS)
+
+
+class Words(dict):
+    """word to a number; parts() has the table rows of each number."""
+
+    def __init__(self):
+        self.parts: list[tuple[int, ...]] = []
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        mask = (1 << BITS) - 1
-        self[word] = out = (h & mask) << 32 | (h >> 32) & mask
+        self[word] = out = len(self.parts)
+        self.parts.append(rows_of(word))
         return out
 
-    def rows(self, text: bytes) -> np.ndarray:
+    def numbers(self, text: bytes) -> np.ndarray:
         words = text.translate(WORD_TABLE).split()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
@@ -61,24 +69,21 @@ class Network:
         self.out = rng.normal(0, 0.5, len(WIDTHS) * FILTERS).astype(np.float32)
         self.base = np.float32(-1.0)
 
-    def embed(self, rows: np.ndarray) -> np.ndarray:
-        return self.table[rows >> 32] + self.table[rows & 0xFFFFFFFF]
+    def embed(self, parts: np.ndarray) -> np.ndarray:
+        return self.table[parts].sum(1)
 
-    def peaks(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of one text: each filter's maximum (zero at least) and where it starts (-1: nowhere)."""
+    def peaks(self, embedded: Callable[[int, int], np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of one text of n words: each filter's maximum (zero at least) and where it starts (-1: nowhere)."""
         best = np.zeros(len(self.bias), np.float32)
         where = np.full(len(self.bias), -1, np.int64)
         reach = max(WIDTHS) - 1
-        for at in range(0, max(1, len(rows)), BLOCK):
-            own = rows[at : at + BLOCK + reach]
-            x = np.concatenate([self.embed(own), np.zeros((reach, DIM), np.float32)])
+        for at in range(0, n, BLOCK):
+            own = embedded(at, min(at + BLOCK + reach, n))
+            x, size = np.concatenate([own, np.zeros((reach, DIM), np.float32)]), len(own)
             for k, f in enumerate(self.filters):
-                n = len(own)
-                if not n:
-                    continue
-                y = x[:n] @ f[0]
+                y = x[:size] @ f[0]
                 for j in range(1, len(f)):
-                    y += x[j : j + n] @ f[j]
+                    y += x[j : j + size] @ f[j]
                 s = slice(k * FILTERS, (k + 1) * FILTERS)
                 top = y.argmax(0)
                 high = y[top, np.arange(FILTERS)] + self.bias[s]
@@ -87,8 +92,8 @@ class Network:
                 where[s] = np.where(more, top + at, where[s])
         return best, where
 
-    def logit(self, rows: np.ndarray) -> float:
-        return float(self.peaks(rows)[0] @ self.out + self.base)
+    def logit(self, embedded: Callable[[int, int], np.ndarray], n: int) -> float:
+        return float(self.peaks(embedded, n)[0] @ self.out + self.base)
 
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.05, seed: int = 9) -> None:
         """Adagrad; the gradient reaches only the words under each filter's maximum."""
@@ -107,7 +112,7 @@ class Network:
                 ids = order[s : s + BATCH]
                 for i in ids:
                     rows = texts[i]
-                    best, where = self.peaks(rows)
+                    best, where = self.peaks(lambda a, b: self.embed(rows[a:b]), len(rows))
                     p = 1 / (1 + np.exp(-np.clip(best @ self.out + self.base, -30, 30)))
                     g = float((p - labels[i]) * weight[i]) / len(ids)
                     g_base += g
@@ -119,8 +124,8 @@ class Network:
                         span = rows[where[f] : where[f] + WIDTHS[k]]
                         grads[k][: len(span), :, c] += down[f] * self.embed(span)
                         pull = down[f] * self.filters[k][: len(span), :, c]
-                        touched += [span >> 32, span & 0xFFFFFFFF]
-                        pulls += [pull, pull]
+                        touched.append(span.ravel())
+                        pulls.append(np.repeat(pull, len(PARTS), axis=0))
                 for p, g, a in zip(dense, grads, sums):
                     g += 1e-5 * p
                     a += g * g
@@ -148,45 +153,76 @@ def _cut(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.clip((low + s[k]) / 2, 0.05, 0.95))
 
 
+class Scorer:
+    """Scores texts, remembering the embeddings of the words met so far."""
+
+    def __init__(self, net: Network):
+        self.net = net
+        self._afresh()
+
+    def _afresh(self) -> None:
+        self.words, self.known, self.filled = Words(), np.zeros((1 << 16, DIM), np.float32), 0
+
+    def logit(self, text: bytes) -> float:
+        if self.filled > CACHE:
+            self._afresh()
+        numbers = self.words.numbers(text)
+        if (have := len(self.words.parts)) > self.filled:
+            if have > len(self.known):
+                self.known = np.concatenate([self.known, np.zeros((max(have, len(self.known)), DIM), np.float32)])
+            self.known[self.filled : have] = self.net.embed(np.array(self.words.parts[self.filled :], np.int64))
+            self.filled = have
+        return self.net.logit(lambda a, b: self.known[numbers[a:b]], len(numbers))
+
+
 class Model:
     """A fitted network, compact enough to travel with the tasks, and the languages' thresholds."""
 
     def __init__(self, net: Network | None, cuts: dict[str, float]):
         self.net, self.cuts = net, cuts
 
-    def scores(self, texts: list[bytes], hasher: Hasher) -> np.ndarray:
+    def scorer(self) -> Callable[[list[bytes]], np.ndarray]:
         if self.net is None:
-            return np.zeros(len(texts))
-        z = np.array([self.net.logit(hasher.rows(t)) for t in texts], np.float64)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            return lambda texts: np.zeros(len(texts))
+        own = Scorer(self.net)
+
+        def scores(texts: list[bytes]) -> np.ndarray:
+            z = np.array([own.logit(t) for t in texts], np.float64)
+            return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+        return scores
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS, text: str = "text") -> Model:
     """Fit on labelled rows of docs (doc_id, text, lang if there): rows of them, of words words, at most, drawn by hash."""
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    known = labels.where(f"{label} in (0, 1)").groupBy("doc_id").agg(F.max(label).alias("y"))
-    drawn = docs.where(F.col("doc_id").isNotNull()).select("doc_id", lang.alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(known, "doc_id")
-    # Only hashed words leave the executors, and no more of a text than the sample may hold.
+    known = labels.where(f"{label} in (0, 1)").groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    own = docs.select("doc_id", lang.alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # The ids are drawn first, so that no more than the sample's texts move.
+    drawn = own.select("doc_id").join(known, "doc_id").withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(rows)
+    picked = own.join(F.broadcast(drawn.dropDuplicates(["doc_id"])), "doc_id").select("place", "lang", "y", "text")
+
     def hashed(batches):
-        own = Hasher()
+        lexicon = Words()
         for b in batches:
-            lists = [own.rows(t or b"")[:words] for t in b.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tobytes() for x in lists], pa.binary())], names=["lang", "y", "rows"])
+            numbers = [lexicon.numbers(t)[:words] for t in b.column(3).cast(pa.large_binary()).to_pylist()]
+            parts = np.array(lexicon.parts or [(0,) * len(PARTS)], np.int32)
+            lists = [parts[n] for n in numbers]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([x.tobytes() for x in lists], pa.binary())], names=["place", "lang", "y", "parts"])
 
-    picked = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("lang", "text", F.col("y").cast("int").alias("y"))
     got, held = [], 0
-    for r in picked.mapInArrow(hashed, "lang string, y int, rows binary").toLocalIterator():
-        own = np.frombuffer(r["rows"], np.int64)
-        held += len(own)
+    for r in picked.mapInArrow(hashed, "place long, lang string, y int, parts binary").orderBy("place", "y", "parts").toLocalIterator():
+        parts = np.frombuffer(r["parts"], np.int32).reshape(-1, len(PARTS))
+        held += len(parts)
         if held > words and got:
             break
-        got.append((own, r["y"], r["lang"]))
+        got.append((parts, r["y"], r["lang"]))
     y = np.array([g[1] for g in got], np.float64)
     if not len(got) or not y.any() or y.all():
         return Model(None, {})
     net = Network()
     net.fit([g[0] for g in got], y)
-    z = np.array([net.logit(g[0]) for g in got])
+    z = np.array([net.logit(lambda a, b, p=g[0]: net.embed(p[a:b]), len(g[0])) for g in got])
     scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     langs = np.array([g[2] for g in got])
     every = _cut(scores, y)
@@ -200,8 +236,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     def start() -> Callable:
-        own, hasher = shared.value, Hasher()
-        return lambda texts: [pa.array(own.scores(texts, hasher), pa.float64())]
+        scores = shared.value.scorer()
+        return lambda texts: [pa.array(scores(texts), pa.float64())]
 
     return annotate(docs, start, [(name, T.DoubleType())], text, keep_text), name
 
