@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -24,10 +25,17 @@ from tokenizers import Tokenizer, models
 
 from .common import annotate, fresh
 
-#: Chunks that a worker remembers before it starts afresh.
-CACHE = 400_000
-#: The piece pattern of the public vocabulary, for chunks of lower-case ASCII without white space.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Chunks and words that a worker gathers in one generation; it remembers two.
+CACHE = 300_000
+#: Letters beyond ASCII that are taken without the library's normaliser if it maps them one to one.
+PLAIN_LETTERS = range(0xC0, 0x180)
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is printable Latin-1, else one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
@@ -36,7 +44,7 @@ class Encoder:
     def __init__(self, path: str, cache: int = CACHE):
         spec = json.load(open(path, encoding="utf-8"))
         whole, model = Tokenizer.from_file(path), spec["model"]
-        self.normal, self.pieces = whole.normalizer, whole.pre_tokenizer
+        self.normal, self.splitter = whole.normalizer, whole.pre_tokenizer
         self.suffix = model["end_of_word_suffix"] or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         plain = dict(vocab=model["vocab"], merges=merges)
@@ -46,17 +54,32 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t.encode() for t, i in self.special.items()}
         self.marked = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.marks = [m.encode() for m in self.special]
+        self.mark = re.compile(b"|".join(re.escape(m.encode()) for m in self.special) or b"(?!)")
         self.within: set[tuple[str, str]] = set()
         for t in model["vocab"]:
             body = t[: -len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t
             self.within.update(zip(body, body[1:]))
-        #: ASCII bytes stand for themselves in the byte alphabet, save those that are not printable.
-        self.printable = re.compile(rb"[!-~]+")
-        self.cache, self.ids, self.texts, self.known = cache, {}, {}, {}
+        self.alphabet = byte_alphabet()
+        # Chunks of ASCII and such letters need no library call before the merges.
+        kept = {c: self.normal.normalize_str(chr(c)) for c in PLAIN_LETTERS}
+        self.lower = {c: n for c, n in kept.items() if len(n) == 1 and n.isalpha() and ord(n) in PLAIN_LETTERS}
+        self.lower |= {c: chr(c + 32) for c in range(65, 91)}
+        letters = "".join(sorted(map(re.escape, set(self.lower.values()) | set("abcdefghijklmnopqrstuvwxyz"))))
+        self.simple = re.compile("[!-~" + "".join(map(re.escape, map(chr, self.lower))) + letters + "]+")
+        self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9]+")
+        self.cache = cache
+        self._afresh()
+
+    def _afresh(self) -> None:
+        """Start a generation; what the last one knew is still at hand, and older things are forgotten."""
+        self.old_known, self.old_words = getattr(self, "known", {}), getattr(self, "words", {})
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
 
     def fragments(self, piece: str) -> list[str]:
         """Cut a piece (in the byte alphabet) wherever no token could reach across."""
+        if self.within.issuperset(zip(piece, piece[1:])):
+            return [piece]
         out, start, within = [], 0, self.within
         for i, pair in enumerate(zip(piece, piece[1:]), 1):
             if pair not in within:
@@ -65,62 +88,61 @@ class Encoder:
         out.append(piece[start:])
         return out
 
-    def piece(self, piece: str) -> list[int]:
-        found = self.known.get(piece)
+    def encoded(self, piece: str) -> tuple[bytes, bytes]:
+        """A piece in the byte alphabet to its ids (as int32 bytes) and tokens."""
+        *inner, last = self.fragments(piece)
+        tokens = [t for x in inner for t in self.inner.tokenize(x)]
+        tokens += self.last.tokenize(last)
+        return array("i", [t.id for t in tokens]).tobytes(), " ".join([t.value for t in tokens]).encode()
+
+    def word(self, piece: str) -> tuple[bytes, bytes]:
+        """The same for a piece of plain text."""
+        found = self.words.get(piece)
         if found is None:
-            *inner, last = self.fragments(piece)
-            found = [t.id for x in inner for t in self.inner.tokenize(x)]
-            found += [t.id for t in self.last.tokenize(last)]
-            self.known[piece] = found
+            found = self.old_words.get(piece)
+            if found is None:
+                found = self.encoded(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet))
+            self.words[piece] = found
         return found
 
-    def plain(self, text: str) -> list[int]:
-        """Ids of a text without special tokens."""
-        text = self.normal.normalize_str(text)
-        return [i for p, _ in self.pieces.pre_tokenize_str(text) for i in self.piece(p)]
-
-    def chunk(self, raw: bytes) -> list[int]:
-        """Ids of a stretch without ASCII white space."""
-        if self.printable.fullmatch(raw) and not any(m in raw for m in self.marks):
-            return [i for p in ASCII_PIECES.findall(raw.decode().lower()) for i in self.piece(p)]
-        text, out, at = raw.decode("utf-8", "replace"), [], 0
-        for m in self.marked.finditer(text) if self.marked else ():
+    def plain(self, text: str) -> list[tuple[bytes, bytes]]:
+        """Parts of a text without special tokens."""
+        return [self.encoded(p) for p, _ in self.splitter.pre_tokenize_str(self.normal.normalize_str(text))]
+
+    def chunk(self, raw: bytes) -> list[tuple[bytes, bytes]]:
+        """Parts of a stretch without ASCII white space."""
+        text = raw.decode("utf-8", "replace")
+        if self.mark.search(raw) is None:
+            if self.simple.fullmatch(text):
+                return [self.word(p) for p in self.pieces.findall(text.translate(self.lower))]
+            return self.plain(text)
+        out, at = [], 0
+        for m in self.marked.finditer(text):
             out += self.plain(text[at : m.start()])
-            out.append(self.special[m[0]])
+            out.append((array("i", [self.special[m[0]]]).tobytes(), m[0].encode()))
             at = m.end()
         return out + self.plain(text[at:])
 
-    def learn(self, raw: bytes) -> None:
-        if len(self.ids) >= self.cache or len(self.known) >= self.cache:
-            self.ids, self.texts, self.known = {}, {}, {}
-        ids = self.chunk(raw)
-        self.ids[raw] = np.asarray(ids, np.int32).tobytes()
-        self.texts[raw] = b" ".join(map(self.token.__getitem__, ids))
+    def learn(self, raw: bytes) -> tuple[bytes, bytes]:
+        parts = self.chunk(raw)
+        if len(parts) == 1:
+            return parts[0]
+        return b"".join([i for i, _ in parts]), b" ".join([t for _, t in parts])
 
     def text(self, raw: bytes) -> tuple[bytes, bytes]:
         """The ids (as int32 bytes) and the decoded text of a whole text."""
-        chunks = raw.split()
-        ids, texts = [], []
+        chunks, ids, texts = raw.split(), [], []
         for at in range(0, len(chunks), self.cache):  # a huge text is taken in blocks
             block = chunks[at : at + self.cache]
-            if len(self.ids) + len(block) > 2 * self.cache:
-                self.ids, self.texts, self.known = {}, {}, {}
-            own, back = self.ids, self.texts
-            for c in block:
-                if c not in own:
-                    self.learn(c)
-                    if own is not self.ids:  # it started afresh
-                        break
-            else:
-                ids.append(b"".join(map(own.__getitem__, block)))
-                texts.append(b" ".join(filter(None, map(back.__getitem__, block))))
-                continue
-            for c in block:
-                if c not in self.ids:
-                    self.learn(c)
-                ids.append(self.ids[c])
-                texts.append(self.texts[c])
-        return b"".join(ids), b" ".join(filter(None, texts))
+            if len(self.known) + len(self.words) > self.cache:
+                self._afresh()
+            own = self.known
+            for c in set(block).difference(own):
+                own[c] = self.old_known.get(c) or self.learn(c)
+            a, b = zip(*map(own.__getitem__, block))
+            ids.append(b"".join(a))
+            texts += filter(None, b)
+        return b"".join(ids), b" ".join(texts)
 
     def decode(self, ids) -> str:
         """As the library decodes without a decoder: tokens joined by a space."""
