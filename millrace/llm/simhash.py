@@ -35,7 +35,7 @@ SAMPLE = 20_000
 #: Sampled fingerprints at which the upper part stops, as long as a shard is expected to hold more than SHARD.
 SHARD = 40_000
 #: A shard's leaves are compared in full.
-LEAF = 256
+LEAF = 2_048
 #: Shingles hashed at a time.
 BLOCK = 200_000
 
@@ -120,9 +120,9 @@ def forest(points: np.ndarray, seed: int = 7) -> list[tuple[int, int]]:
     def leaf(ids: np.ndarray) -> None:
         own = points[ids]
         for s in range(0, len(ids), 512):
-            near = np.argwhere(np.bitwise_count(own[s : s + 512, None] ^ own[None, :]) <= LINK)
-            for i, j in near[near[:, 0] + s < near[:, 1]].tolist():
-                a, b = int(ids[i + s]), int(ids[j])
+            near = np.argwhere(np.bitwise_count(own[s : s + 512, None] ^ own[None, s:]) <= LINK)
+            for i, j in near[near[:, 0] < near[:, 1]].tolist():
+                a, b = int(ids[s + i]), int(ids[s + j])
                 ra, rb = _root(parent, a), _root(parent, b)
                 if ra != rb:
                     parent[ra] = rb
