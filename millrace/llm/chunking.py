@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, texts_of
+from .common import bounded, stored, texts_of
 
 #: A cut falls after one byte in so many (a power of two) on average.
 AVERAGE = 32
@@ -73,6 +73,7 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         d, ids, s, e, none = (np.concatenate(x) for x in zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(ids, mask=none), pa.array(s), pa.array(e)], names=["digest", "doc_id", "start", "end"])
 
+    bounded(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return own.mapInArrow(run, "digest long, doc_id long, start int, end int")
 

@@ -20,6 +20,10 @@ WORD_TABLE = bytes(
 )
 
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,6 +82,15 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def bounded(spark: SparkSession) -> None:
+    """Keep Arrow batches small: texts can be long, and a Python worker holds several copies of a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower().rstrip("b")
+    size = int(now.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(now[-1], 0)
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def annotate(
     docs: DataFrame,
     per_batch: Callable[[], Callable[[list[bytes]], list[pa.Array]]],
@@ -90,6 +103,7 @@ def annotate(
     ``per_batch()`` is called once in each task and returns the function that maps
     a batch of texts to one Arrow array per field.
     """
+    bounded(docs.sparkSession)
     fields = list(fields)
     kept = [f for f in docs.schema.fields if keep_text or f.name != text]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in fields])

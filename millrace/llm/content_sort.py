@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, partitions, stored
+from .common import ascii_lower, bounded, partitions, stored
 
 #: Characters of a text that take part in the splitters; the driver samples no more than these.
 PREFIX = 24
@@ -40,7 +40,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     text, ids, first = None, [], True
 
     def close(edge: bool) -> list:
-        sha, got = hashlib.sha256(text).hexdigest(), [x for x in ids if x is not None]
+        sha, got = hashlib.sha256(text.encode()).hexdigest(), [x for x in ids if x is not None]
         lo, hi = (min(got), max(got)) if got else (None, None)
         return [ids, [lo] * len(ids), [hi] * len(ids), [len(ids)] * len(ids), [sha] * len(ids), [edge] * len(ids)]
 
@@ -48,7 +48,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([x for p in parts for x in p[k]], kinds[k]) for k in range(6)], names=names)
 
     for batch in batches:
-        norm, doc = batch.column(1).cast(pa.large_binary()), batch.column(0).to_pylist()
+        norm, doc = batch.column(1), batch.column(0).to_pylist()
         if not len(norm):
             continue
         cuts = [0, *(np.flatnonzero(pc.not_equal(norm[1:], norm[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), len(doc)]
@@ -71,6 +71,7 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", doc_id: str = "doc_id"
 
     keep: "smallest" or "largest" id of a group of equal texts.
     """
+    bounded(docs.sparkSession)
     norm = docs.select(F.col(doc_id).cast("long").alias("doc_id"), ascii_lower(text).alias("norm"))
     keys = ["prefix", "sha", "doc_id"]
     dealt = (
