@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunking, compaction, content_sort, context_mixing, fm_index, quality, secrets, simhash, toxicity
+from . import bpe, chunking, compaction, content_sort, context_mixing, fm_index, oracles, quality, secrets, simhash, toxicity
 from .common import crc_bucket, shared_dir, table
 
 
@@ -101,4 +101,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
