@@ -61,3 +61,22 @@ def parents_by_url(nodes: DataFrame) -> DataFrame:
     up = nodes.select(F.col("url").alias("p_url"), F.col("depth").alias("p_depth"), F.col("ord").alias("p_ord"))
     met = nodes.join(up, (nodes.parent_url == up.p_url) & (nodes.depth == up.p_depth + 1), "left")
     return met.groupBy("ord", "url", "depth", "parent_url").agg(F.min("p_ord").alias("parent_ord"))
+
+
+def relabel(nodes: DataFrame, depth: int) -> DataFrame:
+    """Paths (ord, path) of nodes (ord, parent_ord, label) from roots to leaves, level by level."""
+    done = _kept(nodes.where("parent_ord is null").select("ord", F.col("label").alias("path")))
+    front = done
+    for _ in range(depth):
+        below = nodes.where("parent_ord is not null").join(front.select(F.col("ord").alias("parent_ord"), F.col("path").alias("up")), "parent_ord")
+        front = _kept(below.select("ord", F.concat_ws("/", "up", "label").alias("path")))
+        if not front.limit(1).count():
+            break
+        done = done.unionByName(front)
+    return done
+
+
+def within_depth(nodes: DataFrame, most: int) -> DataFrame:
+    """Nodes beyond the depth stay, unvisited and without content."""
+    far = F.col("depth") > most
+    return nodes.withColumns({"visited": ~far, "content": F.when(far, F.lit(None)).otherwise(F.col("content")) if "content" in nodes.columns else F.lit(None).cast("string")})

@@ -83,3 +83,11 @@ def cascade(stages: list[tuple[int, str, DataFrame, float]], queries: DataFrame)
 def floor(fused: DataFrame, least: float = RRF_LEAST) -> DataFrame:
     """Mark rows below the smallest fused score that counts as an answer."""
     return fused.withColumn("answered", F.col("score") >= least)
+
+
+def reranked(candidates: DataFrame, logit, least: float = 0.5) -> DataFrame:
+    """Candidates by an injected scorer's logit (a column), as a probability; passed marks those from least on."""
+    score = F.round(1 / (1 + F.exp(-logit)), 6)
+    out = candidates.withColumn("score", score)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "idx")
+    return out.select("query_id", "idx", "score", (F.col("score") >= least).alias("passed"), F.row_number().over(order).alias("rank"))

@@ -1,3 +1,3 @@
 """Queries bound to the tables of an input folder; importing this registers them."""
 
-from . import base, search, web  # noqa: F401
+from . import base, more, search, web  # noqa: F401

@@ -60,3 +60,49 @@ def drained(result: DataFrame, folder: str, mode: str = "complete") -> DataFrame
     if not done:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{folder}/rows-{done[-1]}")
+
+
+#: What an event makes of a node that isn't done.
+STEPS = {"error": "error", "purchase": "completed"}
+
+
+def fold(stream: DataFrame) -> DataFrame:
+    """Status of each node over its events: processing, then error or completed, which stay; and how many events it saw."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, frames, state: GroupState):
+        status, seen = state.get if state.exists else ("pending", 0)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for kind in rows["event_type"]:
+            seen += 1
+            if status not in ("error", "completed"):
+                status = STEPS.get(kind, "processing")
+        state.update((status, seen))
+        yield pd.DataFrame({"node": [key[0]], "status": [status], "seen": [seen]})
+
+    keyed = stream.select("user_id", "ts", "event_id", "event_type").groupBy("user_id")
+    return keyed.applyInPandasWithState(step, "node long, status string, seen long", "status string, seen long", "update", GroupStateTimeout.NoTimeout)
+
+
+def heartbeats(stream: DataFrame, idle: str = "1 second") -> DataFrame:
+    """An event for each job that was silent for so long (by processing time), and one for each batch that it spoke in."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    number, unit = idle.split()
+    millis = int(number) * {"s": 1000, "m": 60_000}[unit[0]]
+
+    def beat(key: tuple, frames, state: GroupState):
+        if state.hasTimedOut:
+            seen = state.get[0]
+            kind = "heartbeat"
+        else:
+            seen = (state.get[0] if state.exists else 0) + sum(len(f) for f in frames)
+            kind = "events"
+        state.update((seen,))
+        state.setTimeoutDuration(millis)
+        yield pd.DataFrame({"job": [key[0]], "type": [kind], "seen": [seen]})
+
+    keyed = stream.select(F.col("event_type").alias("job")).groupBy("job")
+    return keyed.applyInPandasWithState(beat, "job string, type string, seen long", "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -246,3 +246,51 @@ def test_trees(spark):
     got = {r["url"]: r["depth"] for r in crawl.breadth_first(spark.createDataFrame([("r",)], "url string"), edges, 2).collect()}
     assert got == {"r": 0, "a": 1, "b": 1, "c": 2}
     assert crawl.depth_first({"r": ["a", "b"], "b": ["c"]}, ["r"], 9) == ["r", "b", "c", "a"]
+
+
+def test_labels_and_displays(spark):
+    from millrace.functions import labels
+
+    rows = spark.createDataFrame([("Read more", {"aria-label": "Our team"}, "/x/about-us"), ("", {}, "/x/about-us?q"), ("Prices", {}, "/p"), ("go", {}, "")], "t string, a map<string,string>, h string")
+    got = rows.select(labels.heuristic(F.col("t"), F.col("a"), F.col("h")).alias("l"), labels.final(labels.heuristic(F.col("t"), F.col("a"), F.col("h")), F.col("t"), F.col("h")).alias("f")).collect()
+    assert [tuple(r) for r in got] == [("Our team", "Our team"), ("About Us", "About Us"), ("Prices", "Prices"), (None, "go")]
+    assert column(spark, ["What is it", "who", "Where to "], lambda c: labels.rephrase(c, F.lit(0))) == ["Which is it", "Can you tell me: who", "Can you tell me: Where to"]
+    assert column(spark, ["Say The word"], lambda c: labels.highlight(c, "the")) == ["Say >>>THE<<< word"]
+    assert column(spark, ["1. a", "2) b", "c"], labels.numbered) == ["a", "b", "c"]
+    assert column(spark, ["https://a.com/Home/About//Team"], labels.readable_path) == ["a.com → Home → About → Team"]
+
+
+def test_relabel_levels(spark):
+    nodes = spark.createDataFrame([(0, None, "r"), (1, 0, "a"), (2, 1, "b"), (3, 0, "c")], "ord int, parent_ord int, label string")
+    assert {r["ord"]: r["path"] for r in crawl.relabel(nodes, 9).collect()} == {0: "r", 1: "r/a", 2: "r/a/b", 3: "r/c"}
+
+
+def test_status_fold_over_several_batches(spark, tmp_path):
+    from millrace.streaming import progress
+
+    rows = [(0, 1, "click"), (1, 1, "error"), (2, 1, "click"), (3, 2, "view"), (4, 2, "purchase"), (5, 3, "view")]
+    for k in range(3):
+        own = [(e, u, t) for e, u, t in rows if e // 2 == k]
+        frame = spark.createDataFrame(own, "event_id long, user_id long, event_type string")
+        frame.select("event_id", F.timestamp_seconds(F.col("event_id")).alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"), F.lit("{}").alias("props")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = {}
+    stream = progress.fold(progress.source(spark, str(tmp_path / "in")))
+    q = stream.writeStream.foreachBatch(lambda df, n: seen.update({r["node"]: (r["status"], r["seen"]) for r in df.collect()})).option("checkpointLocation", str(tmp_path / "c")).outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert seen == {1: ("error", 3), 2: ("completed", 2), 3: ("processing", 1)}
+
+
+def test_heartbeat_after_silence(spark, tmp_path):
+    import time
+
+    from millrace.streaming import progress
+
+    spark.createDataFrame([(0, 1, "click")], "event_id long, user_id long, event_type string").select("event_id", F.timestamp_seconds(F.col("event_id")).alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"), F.lit("{}").alias("props")).write.parquet(str(tmp_path / "in"))
+    got = []
+    q = progress.heartbeats(progress.source(spark, str(tmp_path / "in"))).writeStream.foreachBatch(lambda df, n: got.extend(r["type"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(processingTime="500 milliseconds").start()
+    for _ in range(60):
+        if "heartbeat" in got:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert got[0] == "events" and "heartbeat" in got
