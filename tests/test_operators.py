@@ -254,7 +254,7 @@ def test_labels_and_displays(spark):
     rows = spark.createDataFrame([("Read more", {"aria-label": "Our team"}, "/x/about-us"), ("", {}, "/x/about-us?q"), ("Prices", {}, "/p"), ("go", {}, "")], "t string, a map<string,string>, h string")
     got = rows.select(labels.heuristic(F.col("t"), F.col("a"), F.col("h")).alias("l"), labels.final(labels.heuristic(F.col("t"), F.col("a"), F.col("h")), F.col("t"), F.col("h")).alias("f")).collect()
     assert [tuple(r) for r in got] == [("Our team", "Our team"), ("About Us", "About Us"), ("Prices", "Prices"), (None, "go")]
-    assert column(spark, ["What is it", "who", "Where to "], lambda c: labels.rephrase(c, F.lit(0))) == ["Which is it", "Can you tell me: who", "Can you tell me: Where to"]
+    assert column(spark, ["What is it", "who", "Where to "], lambda c: labels.rephrase(c, F.lit(0))) == ["Which is it", "Can you tell me: who", "In what location to"]
     assert column(spark, ["Say The word"], lambda c: labels.highlight(c, "the")) == ["Say >>>THE<<< word"]
     assert column(spark, ["1. a", "2) b", "c"], labels.numbered) == ["a", "b", "c"]
     assert column(spark, ["https://a.com/Home/About//Team"], labels.readable_path) == ["a.com → Home → About → Team"]
