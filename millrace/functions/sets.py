@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared share of the union; 0 if either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
+    """Shared share of the union; 0 if either is empty. The union's size follows from the others, as nothing is repeated."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -85,28 +85,34 @@ def keywords(queries: DataFrame, qa: DataFrame) -> DataFrame:
     total = kw.groupBy("query_id").agg(F.sum("w").alias("total"), F.count("*").alias("n"))
     spelled = kw.select("query_id", "word", "w", F.explode("forms").alias("form"))
     text = qa.select("idx", tx.normalize(F.col("answer")).alias("a"), tx.normalize(F.concat_ws(" ", "question", "answer")).alias("qa"))
-    forms = [r[0] for r in spelled.select("form").distinct().limit(FORMS + 1).collect()]
-    if len(forms) <= FORMS:  # the distinct spellings are looked up in one pass over the texts
-        listed = F.array(*(F.lit(f) for f in forms)) if forms else F.array().cast("array<string>")
-        found = text.select("idx", F.explode(F.filter(listed, lambda f: F.contains(F.col("qa"), f))).alias("form")).join(spelled, "form")
-    else:  # too many for one expression: spellings meet texts by a shared beginning
-        grams = text.select("idx", "qa", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("qa") - 2, F.lit(1))), lambda i: F.substring("qa", i, F.lit(3))))).alias("gram"))
-        found = spelled.withColumn("gram", F.left("form", F.lit(3))).join(grams, "gram").where(F.contains("qa", "form")).select("idx", "form", "query_id", "word", "w")
+    forms = spelled.select("form").distinct()
+    if forms.limit(FORMS + 1).count() <= FORMS:  # the distinct spellings, one array of checked size, are looked up in one pass over the texts
+        listed = forms.agg(F.collect_list("form").alias("forms"))
+        spread = text.repartition(int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")), "idx")  # the look-up costs far more than the move
+        found = spread.crossJoin(F.broadcast(listed)).select("idx", F.explode(F.filter("forms", lambda f: F.contains(F.col("qa"), f))).alias("form")).join(spelled, "form")
+    else:  # too many for one array: spellings meet texts by a shared beginning
+        grams = text.select("idx", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("qa") - 2, F.lit(1))), lambda i: F.substring("qa", i, F.lit(3))))).alias("gram"))
+        near = forms.withColumn("gram", F.left("form", F.lit(3))).join(grams, "gram").select("idx", "form")
+        found = near.join(text, "idx").where(F.contains("qa", "form")).select("idx", "form").join(spelled, "form")
     hit = found.select("query_id", "idx", "word", "w").distinct()
     got = hit.groupBy("query_id", "idx").agg(F.count("*").alias("match_count"), F.sum("w").alias("matched"))
     return got.join(total, "query_id").select("query_id", "idx", "match_count", (F.col("match_count") / F.col("n")).alias("coverage"), F.coalesce(F.try_divide("matched", "total"), F.lit(0.0)).alias("idf_score"), F.lit(1.0).alias("match_quality"))
 
 
-#: Distinct spellings that one expression looks up.
-FORMS = 2_000
+#: Distinct spellings that travel with the tasks.
+FORMS = 20_000
 
 
 def rerank(queries: DataFrame, qa: DataFrame, found: DataFrame) -> DataFrame:
-    """Retrieve-then-rerank: .30 idf + .25 + .20 keywords in answer + .10 and .05 Jaccard with question and answer + .05 n-grams."""
+    """Retrieve-then-rerank: .30 idf + .25 + .20 keywords in answer + .10 and .05 Jaccard with question and answer + .05 n-grams.
+
+    The sets are compared as 64-bit hashes of their items, made once for each text.
+    """
     from ..functions import sets
 
-    q = queries.select("query_id", tx.keywords(F.col("query")).alias("kw"), tx.words(F.col("query")).alias("qw"), tx.ngrams(F.col("query")).alias("qg"))
-    d = qa.select("idx", tx.words(F.col("question")).alias("dq"), tx.words(F.col("answer")).alias("da"), tx.ngrams(F.col("question")).alias("gq"), tx.ngrams(F.left("answer", F.lit(500))).alias("ga"))
+    h = lambda items: F.transform(items, lambda x: F.xxhash64(x))
+    q = queries.select("query_id", h(tx.keywords(F.col("query"))).alias("kw"), h(tx.words(F.col("query"))).alias("qw"), h(tx.ngrams(F.col("query"))).alias("qg"))
+    d = qa.select("idx", h(tx.words(F.col("question"))).alias("dq"), h(tx.words(F.col("answer"))).alias("da"), h(tx.ngrams(F.col("question"))).alias("gq"), h(tx.ngrams(F.left("answer", F.lit(500)))).alias("ga"))
     both = found.join(q, "query_id").join(d, "idx")
     share = F.size(F.array_intersect("kw", "da")) / F.greatest(F.size("kw"), F.lit(1))
     score = (
