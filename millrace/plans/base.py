@@ -91,21 +91,33 @@ def similar_pairs(spark, sf_dir):
     return _near(spark, sf_dir)
 
 
-@query()
+#: The scan itself: one vector at a time against the leaders so far.
+SCAN = f"""WITH RECURSIVE {VECTORS}, o AS (SELECT idx, row_number() OVER (ORDER BY idx) AS k, coalesce(adj, []) AS adj FROM e LEFT JOIN (SELECT hi, list(lo) AS adj FROM near WHERE score >= LEAST_SCORE GROUP BY hi) x ON x.hi = e.idx),
+scan AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS leads UNION ALL SELECT o.k, CASE WHEN len(list_intersect(o.adj, scan.leads)) = 0 THEN list_append(scan.leads, o.idx) ELSE scan.leads END FROM scan JOIN o ON o.k = scan.k + 1),
+leads AS (SELECT max_by(leads, k) AS leads FROM scan),
+lead_of AS (SELECT idx AS id, CASE WHEN list_contains(leads, idx) THEN idx ELSE list_min(list_intersect(adj, leads)) END AS leader FROM o, leads)"""
+ONLINE = SCAN.replace("LEAST_SCORE", "0.36") + """,
+status AS (SELECT id, CASE WHEN id = leader THEN 'accepted' WHEN EXISTS (SELECT 1 FROM near n JOIN lead_of l ON l.id = n.lo AND l.leader = l.id WHERE n.hi = lead_of.id AND n.score >= 0.40) THEN 'question' ELSE 'answer' END AS status FROM lead_of)"""
+
+
+@query(SCAN.replace("LEAST_SCORE", "0.35") + "\nSELECT id, leader FROM lead_of")
 def greedy_dedup(spark, sf_dir):
     """Leader of each vector in a scan in id order, at 0.35."""
     nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
     return dedup.leaders(nodes, _near(spark, sf_dir))
 
 
-@query()
+@query(ONLINE + "\nSELECT id, status FROM status")
 def online_dedup(spark, sf_dir):
     """Arrival-order acceptance: questions' links from 0.40, answers' from 0.36 on."""
     nodes, near = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), dedup._kept(_near(spark, sf_dir))
     return dedup.online(nodes, near.where("score >= 0.40"), near.where("score >= 0.36"))
 
 
-@query()
+@query(
+    ONLINE
+    + "\nSELECT count(*) AS total_seen, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'question') AS blocked_by_question, count(*) FILTER (status = 'answer') AS blocked_by_answer, round_even(1000.0 * count(*) FILTER (status <> 'accepted') / count(*), 0) / 10.0 AS dedup_rate FROM status"
+)
 def dedup_stats(spark, sf_dir):
     """Counters of the arrival-order run."""
     return dedup.stats(online_dedup(spark, sf_dir))
@@ -319,7 +331,11 @@ def _closed(spark, sf_dir, out, end):
     return out.crossJoin(F.broadcast(last)).where(end <= F.col("last")).drop("last")  # one row
 
 
-@query()
+@query(
+    f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT * FROM (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k) WHERE "end" <= {CLOSED}"""
+)
 def session_windows(spark, sf_dir):
     """Extension: closed sessions of each user, with a gap of 30 minutes."""
     out = progress.drained(progress.sessions(progress.events(spark, sf_dir)), _folder(spark), "append")

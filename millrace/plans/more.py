@@ -135,7 +135,10 @@ def sliding_windows(spark, sf_dir):
     return _closed(spark, sf_dir, out, F.col("start") + F.expr("INTERVAL 2 DAYS"))
 
 
-@query()
+@query(
+    "SELECT user_id AS node, coalesce(arg_min(" + " ".join(["CASE event_type", *(f"WHEN '{k}' THEN '{v}'" for k, v in progress.STEPS.items())]) + " END, {'ts': ts, 'event_id': event_id}) FILTER (event_type IN ("
+    + ", ".join(f"'{k}'" for k in progress.STEPS) + ")), 'processing') AS status, count(*) AS seen FROM events GROUP BY user_id"
+)
 def node_status_fold(spark, sf_dir):
     """Status of every node over its events, with state of our own."""
     return progress.drained(progress.fold(progress.events(spark, sf_dir)), _folder(spark), "update")

@@ -90,7 +90,11 @@ def semantic_paths(spark, sf_dir):
     return found.select("page_id", path.alias("path"), F.col("element_type").alias("source_type"), "pos").groupBy("page_id", "path", "source_type").agg(F.count("*").alias("n")).drop("n")
 
 
-@query()
+BARE = r"""bare AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<template[^>]*>.*?</template>', '', 'g') AS html FROM pages)"""
+VISIBLE = BARE + r""", seen AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM bare)"""
+
+
+@query(f"WITH {VISIBLE}\nSELECT page_id, md5(text) AS digest, length(text) AS chars FROM seen")
 def page_text(spark, sf_dir):
     """Digest and length of each page's visible text."""
     return html.page_text(_pages(spark, sf_dir)).select("page_id", F.md5("text").alias("digest"), F.length("text").alias("chars"))
@@ -103,7 +107,11 @@ def page_containers(spark, sf_dir):
     return out.select("page_id", "part", "heading", "tag", F.size("paragraphs").alias("paragraphs"), "main_link")
 
 
-@query()
+KIND_SQL = "CASE " + " ".join(f"WHEN tag = '{t}' THEN '{k}'" for t, k in html.KINDS.items()) + " END"
+
+
+@query(rf"""WITH {BARE}, t AS (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM bare), k AS (SELECT {KIND_SQL} AS element_type FROM t)
+SELECT element_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM pages), 6) AS per_page FROM k WHERE element_type IS NOT NULL GROUP BY element_type""")
 def crawl_stats(spark, sf_dir):
     """Elements of all pages by kind, with the mean per page."""
     pages = _pages(spark, sf_dir)
