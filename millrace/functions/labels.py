@@ -68,7 +68,41 @@ def numbered(lines: Column) -> Column:
 
 def fused_label(score: Column) -> Column:
     """Names for fused scores from 0.06, 0.05, 0.04, 0.03 on."""
-    return F.when(score >= 0.06, "excellent").when(score >= 0.05, "very good").when(score >= 0.04, "good").when(score >= 0.03, "fair").otherwise("weak")
+    return F.when(score >= 0.06, "Very High").when(score >= 0.05, "High").when(score >= 0.04, "Medium").when(score >= 0.03, "Low").otherwise("Very Low")
+
+
+def consensus(votes: Column) -> Column:
+    """Names for 4, 3, 2 and other numbers of votes."""
+    return F.when(votes == 4, "✓✓✓✓ Strong Consensus").when(votes == 3, "✓✓✓ Good Consensus").when(votes == 2, "✓✓ Moderate Agreement").otherwise("✓ Weak Agreement")
+
+
+def listed_pairs(pairs: Column) -> Column:
+    """Numbered questions and answers of an array of pairs, as a prompt carries them."""
+    one = lambda p, k: F.concat(F.lit("\n"), (k + 1).cast("string"), F.lit(". Q: "), p["question"], F.lit("\n   A: "), p["answer"], F.lit("\n"))
+    return F.array_join(F.transform(pairs, one), "")
+
+
+def without_repeats(parts: Column) -> Column:
+    """An array without the entries that equal the one before, in any case."""
+    return F.filter(parts, lambda x, k: (k == 0) | (F.lower(x) != F.lower(F.get(parts, k - 1))))
+
+
+#: Words of links that lead to a site's main pages.
+LEADING = ("for", "about", "services", "members", "providers")
+
+
+def meaningful(links: Column) -> Column:
+    """Of the texts of a page's links, the first that says something in over 3 characters, one with a word of main pages before others."""
+    good = F.filter(F.transform(links, lambda t: F.trim(t)), lambda t: ~tx.generic_label(t) & (F.length(t) > 3))
+    main = F.filter(good, lambda t: F.lower(t).rlike("|".join(LEADING)))
+    return F.left(F.coalesce(F.get(main, F.lit(0)), F.get(good, F.lit(0))), F.lit(50))
+
+
+def located(kind: Column, label: Column, url: Column) -> Column:
+    """Place of a label: /label for headings, //label for links, else the URL's path, or 'Home'."""
+    path = F.regexp_extract(F.element_at(F.split(url, r"[?#]", 2), 1), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/]*)?/*(.*?)/*$", 1)
+    said = F.nullif(F.trim(label), F.lit(""))
+    return F.coalesce(F.when(kind == "heading", F.concat(F.lit("/"), said)).when(kind == "link", F.concat(F.lit("//"), said)), F.nullif(path, F.lit("")), F.lit("Home"))
 
 
 def readable_path(path: Column) -> Column:

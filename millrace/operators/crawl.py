@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .dedup import _kept
+from ..sources.shared import kept
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -16,12 +16,12 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def breadth_first(start: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """url and depth of all that start (url) reaches over edges (src, dst) within max_depth steps; first discovery wins."""
-    seen = _kept(start.select("url").distinct().withColumn("depth", F.lit(0)))
+    seen = kept(start.select("url").distinct().withColumn("depth", F.lit(0)))
     edge = edges.select("src", "dst").distinct()
     front = seen
     for depth in range(1, max_depth + 1):
         step = front.join(edge, front.url == edge.src).select(F.col("dst").alias("url")).distinct()
-        front = _kept(step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
+        front = kept(step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
         if not front.limit(1).count():
             break
         seen = seen.unionByName(front)
@@ -65,11 +65,11 @@ def parents_by_url(nodes: DataFrame) -> DataFrame:
 
 def relabel(nodes: DataFrame, depth: int) -> DataFrame:
     """Paths (ord, path) of nodes (ord, parent_ord, label) from roots to leaves, level by level."""
-    done = _kept(nodes.where("parent_ord is null").select("ord", F.col("label").alias("path")))
+    done = kept(nodes.where("parent_ord is null").select("ord", F.col("label").alias("path")))
     front = done
     for _ in range(depth):
         below = nodes.where("parent_ord is not null").join(front.select(F.col("ord").alias("parent_ord"), F.col("path").alias("up")), "parent_ord")
-        front = _kept(below.select("ord", F.concat_ws("/", "up", "label").alias("path")))
+        front = kept(below.select("ord", F.concat_ws("/", "up", "label").alias("path")))
         if not front.limit(1).count():
             break
         done = done.unionByName(front)

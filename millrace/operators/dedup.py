@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 # Thresholds for questions and answers.
 GREEDY_Q, GREEDY_A = 0.90, 0.95
 ONLINE_Q, ONLINE_A = 0.92, 0.90
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder, so that rounds of a loop don't lengthen the lineage."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def leaders(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """Nodes (id) that a scan in order of id keeps: id, leader (itself if kept), for edges (lo, hi), lo < hi.
 
@@ -27,8 +19,8 @@ def leaders(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     neighbour leads; it belongs to the smallest that does. Equal to the sequential loop, in as
     many rounds as the longest chain of decisions.
     """
-    edges = _kept(edges.select("lo", "hi").distinct())
-    state = _kept(nodes.select("id").distinct().join(edges.select(F.col("hi").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))
+    edges = kept(edges.select("lo", "hi").distinct())
+    state = kept(nodes.select("id").distinct().join(edges.select(F.col("hi").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))
     everyone = nodes.select("id").distinct()
     for _ in range(rounds):
         open_nodes = everyone.join(state.select("id"), "id", "left_anti")
@@ -41,7 +33,7 @@ def leaders(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
         # Absorbed by a leader that no undecided node could come before, or leading as all smaller neighbours are absorbed.
         done = per.where("near is not null and (unsure is null or near < unsure)").select("id", F.col("near").alias("leader"))
         done = done.unionByName(per.where("near is null and unsure is null").select("id", F.col("id").alias("leader")))
-        grown = _kept(state.unionByName(done))
+        grown = kept(state.unionByName(done))
         if grown.count() == state.count():
             return grown
         state = grown
@@ -58,9 +50,9 @@ def report(state: DataFrame, qa: DataFrame, answers: DataFrame, least: float = G
 def merged(state: DataFrame, qa: DataFrame, log: DataFrame) -> DataFrame:
     """Leaders with the answers of merged pairs appended in order."""
     more = log.where("action = 'MERGED'").groupBy("leader").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "answer"))), lambda x: x["answer"]).alias("more"))
-    kept = state.where("id = leader").select(F.col("id").alias("idx")).join(qa, "idx").join(more.withColumnRenamed("leader", "idx"), "idx", "left")
+    lead = state.where("id = leader").select(F.col("id").alias("idx")).join(qa, "idx").join(more.withColumnRenamed("leader", "idx"), "idx", "left")
     answer = F.concat(F.col("answer"), F.coalesce(F.array_join(F.transform("more", lambda x: F.concat(F.lit("\n\n[MERGED]: "), x)), ""), F.lit("")))
-    return kept.withColumn("answer", answer).drop("more")
+    return lead.withColumn("answer", answer).drop("more")
 
 
 def online(nodes: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:

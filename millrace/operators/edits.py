@@ -92,6 +92,13 @@ def merged_pair(text: Column) -> Column:
     return F.struct(F.when(q != "", q).otherwise(F.trim(first)).alias("question"), F.when(a != "", a).otherwise(F.trim(rest)).alias("answer"))
 
 
+def requested(text: Column) -> Column:
+    """What a reply asks for: type simplify if the word occurs, else unknown; topic from its last TOPIC: line, else all."""
+    topics = F.regexp_extract_all(text, F.lit(r"TOPIC:([^\n]*?)(?:TOPIC:[^\n]*)?(?:\n|$)"), F.lit(1))
+    kind = F.when(F.lower(text).contains("simplify"), "simplify").otherwise("unknown")
+    return F.struct(kind.alias("type"), F.coalesce(F.trim(F.try_element_at(topics, F.lit(-1))), F.lit("all")).alias("topic"))
+
+
 def embedded_json(text: Column, schema: str) -> Column:
     """The outermost object in a text, parsed; null if there is none."""
     return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), schema)

@@ -35,7 +35,8 @@ class Collector(HTMLParser):
         own = None
         if tag in KINDS:
             inside = next((t for t, _ in self.open if t in BOILERPLATE), None)
-            own = {"tag": tag, "kind": KINDS[tag], "attrs": {k: v or "" for k, v in attrs}, "text": [], "zone": inside}
+            article = next((e["at"] for t, e in reversed(self.open) if t == "article"), None)
+            own = {"tag": tag, "kind": KINDS[tag], "attrs": {k: v or "" for k, v in attrs}, "text": [], "zone": inside, "article": article, "at": len(self.found)}
             self.found.append(own)
         if tag not in VOID:
             self.open.append((tag, own))
@@ -64,11 +65,11 @@ def _flat(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-_ELEMENTS = "page_id long, url string, pos int, element_type string, tag string, text string, zone string, attrs map<string,string>"
+_ELEMENTS = "page_id long, url string, pos int, element_type string, tag string, text string, zone string, article int, attrs map<string,string>"
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """One row an element of (page_id, url, html), in document order."""
+    """One row an element of (page_id, url, html), in document order; article is the pos of the innermost article around it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,8 +78,8 @@ def elements(pages: DataFrame) -> DataFrame:
                 c = Collector()
                 c.feed(html or "")
                 c.close()
-                rows += [(page, url, k, e["kind"], e["tag"], _flat(e["text"]), e["zone"], list(e["attrs"].items())) for k, e in enumerate(c.found)]
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
+                rows += [(page, url, k, e["kind"], e["tag"], _flat(e["text"]), e["zone"], e["article"], list(e["attrs"].items())) for k, e in enumerate(c.found)]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in _ELEMENTS.split(", ")])
 
     return pages.select("page_id", "url", "html").mapInArrow(work, _ELEMENTS)
@@ -120,5 +121,41 @@ def containers(found: DataFrame) -> DataFrame:
     )
 
 
+def cards(found: DataFrame) -> DataFrame:
+    """One row an article: its first heading, first paragraph of over 20 characters (the excerpt) and first link, null where it has none."""
+    kind, first = F.col("element_type"), lambda of, where: F.min_by(of, F.when(where, F.col("pos")))
+    own = found.where("article is not null").groupBy("page_id", "article").agg(
+        first(F.col("text"), kind == "heading").alias("heading"),
+        first(F.col("text"), (kind == "paragraph") & (F.length("text") > 20)).alias("excerpt"),
+        first(F.try_element_at("attrs", F.lit("href")), kind == "link").alias("link"),
+    )
+    return own
+
+
+def main_content(found: DataFrame, long: int = 100, least: int = 200) -> DataFrame:
+    """page_id, text: paragraphs of over 100 characters within articles, blank lines between; below 200 characters, all paragraphs outside navigation."""
+    own = found.where("element_type = 'paragraph' and zone is null and text <> ''")
+    join = lambda where: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(where, F.struct("pos", "text")))), lambda x: x["text"]), "\n\n")
+    both = own.groupBy("page_id").agg(join(F.col("article").isNotNull() & (F.length("text") > long)).alias("core"), join(F.lit(True)).alias("body"))
+    return both.select("page_id", F.when(F.length("core") < least, F.col("body")).otherwise(F.col("core")).alias("text"))
+
+
+def following(found: DataFrame, most: int = 5, chars: int = 500) -> DataFrame:
+    """What stands below each heading up to the next: up to five paragraphs of over 10 characters, joined and cut at 500."""
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("page_id").orderBy("pos")
+    own = found.where("zone is null").withColumn("part", F.count(F.when(F.col("element_type") == "heading", 1)).over(order)).where("part > 0")
+    text = F.when((F.col("element_type") == "paragraph") & (F.length("text") > 10), F.struct("pos", "text"))
+    below = F.transform(F.slice(F.sort_array(F.collect_list(text)), 1, most), lambda x: x["text"])
+    return own.groupBy("page_id", "part").agg(F.min_by("text", "pos").alias("heading"), F.left(F.array_join(below, " "), F.lit(chars)).alias("content"))
+
+
+def primary_heading(found: DataFrame) -> DataFrame:
+    """page_id, heading: the first h1, else the first h2, else the first heading, 50 characters of it."""
+    level = F.when(F.col("tag") == "h1", 1).when(F.col("tag") == "h2", 2).otherwise(3)
+    return found.where("element_type = 'heading' and text <> ''").groupBy("page_id").agg(F.min_by(F.left("text", F.lit(50)), F.struct(level, "pos")).alias("heading"))
+
+
 def data_attributes(attrs):
     return F.map_filter(attrs, lambda k, v: k.startswith("data-"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import fuzzy as spelling
 from ..functions import text as tx
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -41,6 +42,21 @@ def normalized(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return s.join(q, "query_id").join(d, "idx").select("query_id", "idx", score.alias("score"))
 
 
+def stemmed(queries: DataFrame, docs: DataFrame, items) -> DataFrame:
+    """Half Jaccard, half overlap of two texts' stems (items gives a text's distinct stems)."""
+    s = shared(queries, docs, items)
+    score = 0.5 * F.col("inter") / (F.col("nq") + F.col("nd") - F.col("inter")) + 0.5 * F.col("inter") / F.greatest("nq", F.lit(1))
+    return s.select("query_id", "idx", score.alias("score"))
+
+
+def fuzzy(queries: DataFrame, docs: DataFrame, items=tx.words) -> DataFrame:
+    """Best likeness of spelling between the words that two texts share and either's words; pairs without a shared word score 0 and are not listed."""
+    pairs = shared(queries, docs, items).select("query_id", "idx")
+    q = queries.select("query_id", items(F.col("query")).alias("q"))
+    d = docs.select("idx", items(F.col("text")).alias("d"))
+    return pairs.join(q, "query_id").join(d, "idx").select("query_id", "idx", spelling.set_ratio(F.col("q"), F.col("d")).alias("score"))
+
+
 def idf(docs: DataFrame) -> DataFrame:
     """df, idf = ln(N / (1 + df)) and its share of the largest, for each distinct word of the normalised text."""
     n = docs.agg(F.count("*").alias("n"))

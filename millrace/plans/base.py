@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import query
 from ..functions import text as tx
 from ..operators import dedup, edits, lexical, vector
+from ..sources.shared import folder, kept
 from ..sources.tables import QA_SQL, pairs, table, topics
 from ..streaming import progress
 from . import sql as S
@@ -110,7 +109,7 @@ def greedy_dedup(spark, sf_dir):
 @query(ONLINE + "\nSELECT id, status FROM status")
 def online_dedup(spark, sf_dir):
     """Arrival-order acceptance: questions' links from 0.40, answers' from 0.36 on."""
-    nodes, near = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), dedup._kept(_near(spark, sf_dir))
+    nodes, near = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), kept(_near(spark, sf_dir))
     return dedup.online(nodes, near.where("score >= 0.40"), near.where("score >= 0.36"))
 
 
@@ -290,22 +289,17 @@ def near_misses(spark, sf_dir):
 # streams -----------------------------------------------------------------------------------------------
 
 
-def _folder(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(20,6))) AS DOUBLE), 4) AS total FROM events GROUP BY event_type")
 def progress_counts(spark, sf_dir):
     """Running figures by type of event, after all events."""
-    out = progress.drained(progress.counts(progress.events(spark, sf_dir)), _folder(spark))
+    out = progress.drained(progress.counts(progress.events(spark, sf_dir)), folder(spark))
     return out.select("event_type", "n", F.round(F.col("total").cast("double"), 4).alias("total"))
 
 
 @query("SELECT user_id AS worker_id, count(*) AS items, arg_max(event_type, (ts, event_id)) AS status, max((ts, event_id)).event_id AS last_event FROM (SELECT user_id, event_type, {'ts': ts, 'event_id': event_id} AS k, ts, event_id FROM events) GROUP BY user_id".replace("arg_max(event_type, (ts, event_id))", "arg_max(event_type, k)").replace("max((ts, event_id)).event_id", "max(k).event_id"))
 def worker_last_state(spark, sf_dir):
     """Last known state of every worker, after all events."""
-    return progress.drained(progress.last_state(progress.events(spark, sf_dir)), _folder(spark))
+    return progress.drained(progress.last_state(progress.events(spark, sf_dir)), folder(spark))
 
 
 @query("SELECT event_id, event_id // 50 + 1 AS batch, event_id % 3 AS worker, ceil((SELECT count(*) FROM events) / 50.0)::BIGINT AS batches FROM events")
@@ -322,7 +316,7 @@ CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 @query(f"SELECT * FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 DAY <= {CLOSED}")
 def tumbling_windows(spark, sf_dir):
     """Extension: daily counts of closed windows, with a watermark of an hour."""
-    out = progress.drained(progress.tumbling(progress.events(spark, sf_dir)), _folder(spark), "append")
+    out = progress.drained(progress.tumbling(progress.events(spark, sf_dir)), folder(spark), "append")
     return _closed(spark, sf_dir, out, F.col("start") + F.expr("INTERVAL 1 DAY"))
 
 
@@ -338,5 +332,5 @@ SELECT * FROM (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS
 )
 def session_windows(spark, sf_dir):
     """Extension: closed sessions of each user, with a gap of 30 minutes."""
-    out = progress.drained(progress.sessions(progress.events(spark, sf_dir)), _folder(spark), "append")
+    out = progress.drained(progress.sessions(progress.events(spark, sf_dir)), folder(spark), "append")
     return _closed(spark, sf_dir, out, F.col("end"))

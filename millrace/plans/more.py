@@ -8,10 +8,11 @@ from ..catalog import query
 from ..functions import labels, sets
 from ..functions import text as tx
 from ..operators import crawl, fusion, html, lexical
+from ..sources.shared import folder
 from ..sources.tables import asked, pairs, table
 from ..streaming import progress
 from . import sql as S
-from .base import QA, _closed, _folder
+from .base import QA, _closed
 from .search import SEMANTIC_A, SEMANTIC_Q, _docs, _semantic, _six, _top
 from .web import LINKS, _pages
 
@@ -131,7 +132,7 @@ def relabel_paths(spark, sf_dir):
 @query("SELECT * FROM (SELECT start, count(*) AS n FROM (SELECT unnest([CAST(date_trunc('day', ts) AS TIMESTAMP), CAST(date_trunc('day', ts) AS TIMESTAMP) - INTERVAL 1 DAY]) AS start FROM events) GROUP BY start) WHERE start + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def sliding_windows(spark, sf_dir):
     """Extension: closed windows of two days, one beginning every day."""
-    out = progress.drained(progress.sliding(progress.events(spark, sf_dir)), _folder(spark), "append")
+    out = progress.drained(progress.sliding(progress.events(spark, sf_dir)), folder(spark), "append")
     return _closed(spark, sf_dir, out, F.col("start") + F.expr("INTERVAL 2 DAYS"))
 
 
@@ -141,7 +142,7 @@ def sliding_windows(spark, sf_dir):
 )
 def node_status_fold(spark, sf_dir):
     """Status of every node over its events, with state of our own."""
-    return progress.drained(progress.fold(progress.events(spark, sf_dir)), _folder(spark), "update")
+    return progress.drained(progress.fold(progress.events(spark, sf_dir)), folder(spark), "update")
 
 
 @query(

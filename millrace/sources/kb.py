@@ -94,6 +94,39 @@ def listing(spark: SparkSession, path: str, exclude: tuple[str, ...] = ()) -> Da
     return files.select(name.alias("name"), F.bround(F.col("length") / 1024, 2).alias("kb"), F.col("modificationTime").alias("modified")).where(~F.col("name").isin(*exclude) if exclude else F.lit(True)).orderBy(F.desc("modified"), "name")
 
 
+def checked(spark: SparkSession, path: str) -> DataFrame:
+    """What is wrong with topic files, one row each: file, topics, problem (null for a good one)."""
+    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.trim("value").alias("value"))
+    whole = F.try_parse_json("value")
+    listed = F.coalesce(F.try_variant_get(whole, "$.topics", "array<variant>"), F.try_variant_get(whole, "$", "array<variant>"))
+    good = lambda t: F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get(t, "$.qa_pairs", "variant")), F.lit("ARRAY<")), F.lit(False))
+    bad = F.filter(F.transform("listed", lambda t, k: F.when(~good(t), k)), lambda k: k.isNotNull())
+    out = raw.select("file", whole.isNull().alias("broken"), listed.alias("listed"))
+    problem = (
+        F.when(F.col("broken"), "not JSON")
+        .when(F.col("listed").isNull(), "neither a list of topics nor an object with topics")
+        .when(F.size("listed") == 0, "no topics")
+        .when(F.size(bad) > 0, F.concat(F.lit("no list of pairs in topic "), F.get(bad, F.lit(0)).cast("string")))
+    )
+    return out.select("file", F.size("listed").alias("topics"), problem.alias("problem"))
+
+
+def diagnostics(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder by their ending: files, kb (two decimals), newest."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    kind = F.regexp_extract("path", r"\.([^./]+)$", 1)
+    return files.groupBy(kind.alias("kind")).agg(F.count("*").alias("files"), F.bround(F.sum("length") / 1024, 2).alias("kb"), F.max("modificationTime").alias("newest"))
+
+
+def write_elements(elements: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
+    """A crawl's elements as one JSON document of a map from path to element; of equal paths the last in ord counts. read_elements() reads it."""
+    fields = [f.split(":")[0] for f in ELEMENT[len("struct<") : -1].split(",")]
+    last = elements.groupBy("semantic_path").agg(F.max_by(F.struct(*fields), "ord").alias("e"), F.max("ord").alias("at"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "semantic_path", "e"))), lambda x: F.struct(x["semantic_path"], x["e"]))
+    known = F.struct(*(F.lit(v).alias(k) for k, v in (metadata or {"crawl_type": "hierarchical"}).items()))
+    last.agg(ordered.alias("m")).select(F.to_json(F.struct(known.alias("crawl_metadata"), F.map_from_entries("m").alias("semantic_elements"))).alias("value")).write.mode("overwrite").text(path)
+
+
 EVAL_CASES = T.StructType([T.StructField("original_question", T.StringType()), T.StructField("rephrased_question", T.StringType())])
 
 
