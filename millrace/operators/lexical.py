@@ -52,6 +52,7 @@ def stemmed(queries: DataFrame, docs: DataFrame, items) -> DataFrame:
 def fuzzy(queries: DataFrame, docs: DataFrame, items=tx.words) -> DataFrame:
     """Best likeness of spelling between the words that two texts share and either's words; pairs without a shared word score 0 and are not listed."""
     pairs = shared(queries, docs, items).select("query_id", "idx")
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "idx", "query_id")  # a comparison costs far more than the move
     q = queries.select("query_id", items(F.col("query")).alias("q"))
     d = docs.select("idx", items(F.col("text")).alias("d"))
     return pairs.join(q, "query_id").join(d, "idx").select("query_id", "idx", spelling.set_ratio(F.col("q"), F.col("d")).alias("score"))

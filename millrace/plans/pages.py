@@ -13,19 +13,12 @@ from . import sql as S
 from .base import QA
 from .more import _generic
 from .search import LIST, _docs, _top
-from .web import H1, LINKS, _pages
-
-
-def _plain(x: str) -> str:
-    """SQL for the text of a piece of HTML."""
-    for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        x = f"replace({x}, '{mark}', '{char}')" if mark != "&lt;" else f"replace(regexp_replace({x}, '<[^>]+>', '', 'g'), '{mark}', '{char}')"
-    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+from .web import H1, LINKS, _pages, plain
 
 
 #: Paragraphs within a page's article, in order.
 PARAGRAPHS = f"""{H1}, a AS (SELECT page_id, regexp_extract(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
-c AS (SELECT page_id, list_transform(string_split(body, '<p>')[2:], lambda p: {_plain("split_part(p, '</p>', 1)")}) AS ps FROM a)"""
+c AS (SELECT page_id, list_transform(string_split(body, '<p>')[2:], lambda p: {plain("split_part(p, '</p>', 1)")}) AS ps FROM a)"""
 
 
 def _found(spark, sf_dir):

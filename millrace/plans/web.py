@@ -41,7 +41,15 @@ def exact_dup_urls(spark, sf_dir):
     return crawl.first_wins(own, ["norm"], ["page_id"]).select("norm", "page_id")
 
 
-H1 = r"""h AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS heading FROM pages WHERE contains(html, '<h1>'))"""
+def plain(x: str) -> str:
+    """SQL for the text of a piece of HTML; entities may have lost their semicolon."""
+    x = f"regexp_replace({x}, '<[^>]+>', '', 'g')"
+    for mark, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("middot", "·"), ("copy", "©"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{mark};?', '{char}', 'g')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+H1 = f"""h AS (SELECT page_id, url, {plain("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS heading FROM pages WHERE contains(html, '<h1>'))"""
 
 
 @query(f"WITH {H1}\nSELECT page_id, heading AS text, 'h1' AS tag FROM h")
@@ -91,7 +99,7 @@ def semantic_paths(spark, sf_dir):
 
 
 BARE = r"""bare AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<template[^>]*>.*?</template>', '', 'g') AS html FROM pages)"""
-VISIBLE = BARE + r""", seen AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM bare)"""
+VISIBLE = BARE + f", seen AS (SELECT page_id, {plain('html')} AS text FROM bare)"
 
 
 @query(f"WITH {VISIBLE}\nSELECT page_id, md5(text) AS digest, length(text) AS chars FROM seen")
