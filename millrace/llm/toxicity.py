@@ -4,8 +4,9 @@ A word (ASCII lower-cased, letters, digits and non-ASCII only) is the sum of the
 rows that it and its beginnings have in a hashed embedding table. Filters of several widths slide over a whole
 text, each keeps its maximum, and a linear layer scores the maxima. Rows of the
 table that no training word touched stay zero, so unknown words are neutral.
-Decision thresholds are calibrated for each language on labelled training rows;
-the score itself never sees language, source, labels or id.
+Decision thresholds are calibrated for each language on all labelled training
+rows, by histograms made on the executors; a language with fewer than POSITIVES
+positive rows takes the threshold of all rows. The score itself never sees language, source, labels or id.
 
 The fit takes a bounded sample of the labelled training rows (TRAIN_WORDS words
 at most, drawn by hash); every document is scored in full.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, annotate, fresh
+from .common import WORD_TABLE, annotate, fresh, stored
 
 BITS, DIM, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 8
 #: Bytes of a word that its table rows are hashed from: beginnings, and the whole of it (words are cut nowhere).
@@ -36,6 +37,8 @@ EPOCHS, BATCH = 8, 32
 #: Words scored at a time; neighbouring blocks share the words that a filter may straddle.
 BLOCK = 100_000
 CACHE = 400_000
+#: Bins of the scores that thresholds are cut from, and the positive rows that a language's own threshold takes.
+BINS, POSITIVES = 1_000, 20
 
 
 def rows_of(word: bytes) -> tuple[int, ...]:
@@ -140,17 +143,50 @@ class Network:
                     self.table[at] -= 4 * rate * g / np.sqrt(table_sum[at])[:, None]
 
 
-def _cut(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the threshold range with the best F1; 0.5 if there is no positive row."""
-    if not labels.any() or labels.all():
+def _cut(hist: list[tuple[int, int, int, float, float]]) -> float:
+    """The middle of the threshold range with the best F1, from (bin, label, rows, least, largest score); 0.5 if a class has no row."""
+    bins = sorted({h[0] for h in hist})
+    at = {x: k for k, x in enumerate(bins)}
+    rows, low, high = np.zeros((2, len(bins)), np.int64), np.full(len(bins), np.inf), np.zeros(len(bins))
+    for x, y, n, least, largest in hist:
+        k = at[x]
+        rows[y, k] += n
+        low[k], high[k] = min(low[k], least), max(high[k], largest)
+    if not rows.sum(1).all():
         return 0.5
-    order = np.argsort(scores)
-    s, y = scores[order], labels[order]
-    caught = np.cumsum(y[::-1])[::-1]
-    f1 = 2 * caught / (np.arange(len(y), 0, -1) + y.sum())
+    caught = np.cumsum(rows[1, ::-1])[::-1]
+    f1 = 2 * caught / (np.cumsum(rows.sum(0)[::-1])[::-1] + rows[1].sum())
     k = int(f1.argmax())
-    low = s[k - 1] if k else 0.0
-    return float(np.clip((low + s[k]) / 2, 0.05, 0.95))
+    return float(np.clip(((high[k - 1] if k else 0.0) + low[k]) / 2, 0.05, 0.95))
+
+
+def _calibrated(net: Network, docs: DataFrame, known: DataFrame, sampled: list[int]) -> dict[str | None, float]:
+    """Thresholds of the languages, and of all rows (None), from every row of docs (doc_id, lang, text) that known (doc_id, y) labels.
+
+    The rows are scored where they lie and joined by their scores, so that no text moves.
+
+    Rows that the network was fitted on count only where the others hold fewer
+    than POSITIVES positive ones; a language with fewer in all has no threshold of its own.
+    """
+    spark = docs.sparkSession
+    scored, name = score(docs, Model(net, {}), keep_text=False)
+    seen = F.broadcast(spark.createDataFrame([(d,) for d in set(sampled)], "doc_id long")).withColumn("s", F.lit(True))
+    marked = scored.join(known, "doc_id").join(seen, "doc_id", "left").withColumn("seen", F.coalesce("s", F.lit(False)))
+    place = F.least(F.floor(F.col(name) * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+    figures = F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high")
+    hist = stored(marked.groupBy("lang", "seen", "y", place).agg(F.count("*").alias("rows"), F.min(name).alias("low"), F.max(name).alias("high")))
+    large = hist.where("y = 1").groupBy("lang").agg(F.sum("rows").alias("n")).where(F.col("n") >= POSITIVES).select("lang")
+    parts: dict[str | None, list] = {None: []}
+    every = hist.groupBy("seen", "y", "bin").agg(*figures).withColumn("lang", F.lit(None).cast("string"))
+    own = hist.join(F.broadcast(large), "lang", "left_semi")
+    for r in every.unionByName(own).toLocalIterator():  # BINS rows at most for each language, label and side
+        parts.setdefault(r["lang"], []).append((r["seen"], (r["bin"], r["y"], r["rows"], r["low"], r["high"])))
+    out = {}
+    for lang, both in parts.items():
+        fresh_rows = [h for seen_, h in both if not seen_]
+        enough = sum(h[2] for h in fresh_rows if h[1]) >= POSITIVES and not all(h[1] for h in fresh_rows)
+        out[lang] = _cut(fresh_rows if enough else [h for _, h in both])
+    return out
 
 
 class Scorer:
@@ -197,10 +233,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
     """Fit on labelled rows of docs (doc_id, text, lang if there): rows of them, of words words, at most, drawn by hash."""
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
     known = labels.where(f"{label} in (0, 1)").groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    own = docs.select("doc_id", lang.alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # The ids are drawn first, so that no more than the sample's texts move.
     drawn = own.select("doc_id").join(known, "doc_id").withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(rows)
-    picked = own.join(F.broadcast(drawn.dropDuplicates(["doc_id"])), "doc_id").select("place", "lang", "y", "text")
+    picked = own.join(F.broadcast(drawn.dropDuplicates(["doc_id"])), "doc_id").select("place", "doc_id", "y", "text")
 
     def hashed(batches):
         lexicon = Words()
@@ -208,26 +244,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
             numbers = [lexicon.numbers(t)[:words] for t in b.column(3).cast(pa.large_binary()).to_pylist()]
             parts = np.array(lexicon.parts or [(0,) * len(PARTS)], np.int32)
             lists = [parts[n] for n in numbers]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([x.tobytes() for x in lists], pa.binary())], names=["place", "lang", "y", "parts"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([x.tobytes() for x in lists], pa.binary())], names=["place", "doc_id", "y", "parts"])
 
     got, held = [], 0
-    for r in picked.mapInArrow(hashed, "place long, lang string, y int, parts binary").orderBy("place", "y", "parts").toLocalIterator():
+    for r in picked.mapInArrow(hashed, "place long, doc_id long, y int, parts binary").orderBy("place", "y", "parts").toLocalIterator():
         parts = np.frombuffer(r["parts"], np.int32).reshape(-1, len(PARTS))
         held += len(parts)
         if held > words and got:
             break
-        got.append((parts, r["y"], r["lang"]))
+        got.append((parts, r["y"], r["doc_id"]))
     y = np.array([g[1] for g in got], np.float64)
     if not len(got) or not y.any() or y.all():
         return Model(None, {})
     net = Network()
     net.fit([g[0] for g in got], y)
-    z = np.array([net.logit(lambda a, b, p=g[0]: net.embed(p[a:b]), len(g[0])) for g in got])
-    scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    langs = np.array([g[2] for g in got])
-    every = _cut(scores, y)
-    cuts = {x: _cut(scores[langs == x], y[langs == x]) if y[langs == x].sum() >= 20 else every for x in set(langs.tolist())}
-    return Model(net, cuts | {None: every})
+    return Model(net, _calibrated(net, own, known, [g[2] for g in got]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> tuple[DataFrame, str]:
