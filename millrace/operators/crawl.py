@@ -63,16 +63,24 @@ def parents_by_url(nodes: DataFrame) -> DataFrame:
     return met.groupBy("ord", "url", "depth", "parent_url").agg(F.min("p_ord").alias("parent_ord"))
 
 
-def relabel(nodes: DataFrame, depth: int) -> DataFrame:
-    """Paths (ord, path) of nodes (ord, parent_ord, label) from roots to leaves, level by level."""
+def relabel(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """Paths (ord, path) of nodes (ord, parent_ord, label) from roots to leaves.
+
+    Paths double in length every round. Nodes that no root reaches have no row; one deeper than depth, if that is given, raises.
+    """
     done = kept(nodes.where("parent_ord is null").select("ord", F.col("label").alias("path")))
-    front = done
-    for _ in range(depth):
-        below = nodes.where("parent_ord is not null").join(front.select(F.col("ord").alias("parent_ord"), F.col("path").alias("up")), "parent_ord")
-        front = kept(below.select("ord", F.concat_ws("/", "up", "label").alias("path")))
-        if not front.limit(1).count():
-            break
-        done = done.unionByName(front)
+    rest = kept(nodes.where("parent_ord is not null").select("ord", F.col("parent_ord").alias("up"), F.col("label").alias("path")))
+    length, most = 1, nodes.count() if depth is None else depth
+    none = F.lit(None).cast(nodes.schema["ord"].dataType)
+    while rest.limit(1).count():
+        if length > most:
+            if depth is None:  # more nodes than there are: a circle
+                break
+            raise RuntimeError(f"nodes lie deeper than {depth} levels")
+        state = done.select(F.col("ord").alias("at"), none.alias("beyond"), F.col("path").alias("head")).union(rest.select("ord", "up", "path"))
+        longer = kept(rest.join(state, rest.up == state["at"]).select("ord", F.col("beyond").alias("up"), F.concat_ws("/", "head", "path").alias("path")))
+        done = done.unionByName(longer.where("up is null").select("ord", "path"))
+        rest, length = longer.where("up is not null"), 2 * length
     return done
 
 

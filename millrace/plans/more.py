@@ -124,9 +124,10 @@ def relabel_paths(spark, sf_dir):
     """Paths from root to leaf, from every node's own label (turns below the turns before)."""
     chat = table(spark, sf_dir, "conversations")
     first = chat.groupBy("conv_id").agg(F.min("turn").alias("least"))
-    ord_ = F.col("conv_id") * 1000 + F.col("turn")
-    nodes = chat.join(first, "conv_id").select(ord_.alias("ord"), F.when(F.col("turn") > F.col("least"), ord_ - 1).alias("parent_ord"), F.concat("role", "turn").alias("label"))
-    return crawl.relabel(nodes, 1_000)
+    # Keys that no other conversation shares, however many turns there are; the number is made for the result only.
+    own, up = F.struct("conv_id", "turn"), F.struct("conv_id", (F.col("turn") - 1).alias("turn"))
+    nodes = chat.join(first, "conv_id").select(own.alias("ord"), F.when(F.col("turn") > F.col("least"), up).alias("parent_ord"), F.concat("role", "turn").alias("label"))
+    return crawl.relabel(nodes).select((F.col("ord.conv_id") * 1000 + F.col("ord.turn")).alias("ord"), "path")
 
 
 @query("SELECT * FROM (SELECT start, count(*) AS n FROM (SELECT unnest([CAST(date_trunc('day', ts) AS TIMESTAMP), CAST(date_trunc('day', ts) AS TIMESTAMP) - INTERVAL 1 DAY]) AS start FROM events) GROUP BY start) WHERE start + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
