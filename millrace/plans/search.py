@@ -319,6 +319,29 @@ def cascade_v1(spark, sf_dir):
     return fusion.cascade([(1, "semantic", first, 0.5), (2, "rephrased", second, 0.5)], q)
 
 
+@query(
+    S.with_qa(
+        S.bm25(), SEMANTIC_Q, SEMANTIC_A, HYBRID, _hybrid_sql(0.85, "sq"),
+        "sx AS (SELECT query_id, idx, max(score) AS score FROM (SELECT * FROM sq UNION ALL SELECT * FROM sa) GROUP BY query_id, idx)",
+        _hybrid_sql(0.5, "sx").replace("h AS", "g AS", 1),
+        f"h1 AS ({S.ranked('h', 10)}), s1 AS ({S.ranked('sq', 10)}), g1 AS ({S.ranked('g', 1)})",
+        "pool AS (SELECT query_id, 1 AS stage, 'semantic' AS source, idx, score FROM s1 WHERE score >= 0.5 UNION ALL SELECT query_id, 2, 'rephrased', idx, score FROM h1 WHERE score >= 0.5 UNION ALL SELECT query_id, 3, 'answer', idx, score FROM g1 WHERE score >= 0.4)",
+        "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, stage, idx) AS r FROM pool) WHERE r = 1)",
+    )
+    + "\nSELECT query_id, coalesce(source, 'fallback') AS source, idx, score FROM ask LEFT JOIN best USING (query_id)"
+)
+def cascade_v1_answers(spark, sf_dir):
+    """cascade_v1 with its third stage: hybrid (alpha 0.5) over the nearer of question and answer, the first from 0.4 on."""
+    q = asked(spark, sf_dir)
+    lex = _six(lexical.bm25(q, _docs(pairs(spark, sf_dir), "both")))
+    sem = _semantic(spark, sf_dir, "question")
+    nearer = sem.unionByName(_semantic(spark, sf_dir, "answer")).groupBy("query_id", "idx").agg(F.max("score").alias("score"))
+    first = _top(sem, 10)
+    second = _top(fusion.hybrid(sem, lex, 0.85), 10)
+    third = _top(fusion.hybrid(nearer, lex, 0.5), 1)
+    return fusion.cascade([(1, "semantic", first, 0.5), (2, "rephrased", second, 0.5), (3, "answer", third, 0.4)], q)
+
+
 @query(
     S.with_qa(S.bm25(), SEMANTIC_Q, SEMANTIC_A, FOUR, f"top AS ({S.ranked('fused', 1)})")
     + "\nSELECT query_id, CASE WHEN score >= 0.02 THEN 'answer' ELSE 'fallback' END AS source, CASE WHEN score >= 0.02 THEN idx END AS idx, score FROM ask LEFT JOIN top USING (query_id)"
