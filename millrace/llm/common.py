@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -21,7 +22,10 @@ WORD_TABLE = bytes(
 
 
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+#: Bytes that a Python object in a cache takes beside its contents, about.
+OBJECT = 100
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +36,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, size: int = 128 << 20) -> int:
+    """Partitions for a shuffle of whole texts: those of the session, and more where the plan's estimate of df's bytes asks for it."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), min(estimate // size, 1 << 20) if estimate < 1 << 60 else 0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor sees.
 
@@ -71,6 +81,18 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.large_binary()).to_pylist()]
 
 
+def pieces(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in pieces of about size bytes that end before white space; a longer word stays whole."""
+    at = 0
+    while len(raw) - at > size:
+        cut = _SPACE.search(raw, at + size)
+        if cut is None:
+            break
+        yield raw[at : cut.start()]
+        at = cut.start()
+    yield raw[at:] if at else raw
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that df lacks, whatever extra columns it brings."""
     have, out = {c.lower() for c in df.columns}, []
@@ -111,9 +133,12 @@ def annotate(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = per_batch()
-        for batch in batches:
-            made = work(texts_of(batch, text))
-            cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, *made], names=[*names, *(n for n, _ in fields)])
+        try:
+            for batch in batches:
+                made = work(texts_of(batch, text))
+                cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
+                yield pa.RecordBatch.from_arrays([*cols, *made], names=[*names, *(n for n, _ in fields)])
+        finally:  # a worker outlives its task
+            getattr(work, "close", lambda: None)()
 
     return docs.mapInArrow(run, schema)
