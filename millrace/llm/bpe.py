@@ -6,8 +6,9 @@ of a text is cut at all such pairs, the fragments are encoded independently (the
 last with the end-of-word suffix) and their ids are concatenated.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
-repeated rows are encoded alike; extra columns pass through; a text without
-white space is one chunk, whatever its length.
+repeated rows are encoded alike; extra columns pass through; a very long text is
+taken in pieces cut at white space, and one without white space is one chunk,
+whatever its length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
 
-from .common import annotate, fresh
+from .common import OBJECT, annotate, fresh, pieces
 
-#: Chunks and words that a worker gathers in one generation; it remembers two.
-CACHE = 300_000
+#: Bytes of chunks and words that a worker gathers in one generation; it remembers two, and forgets them with its task.
+CACHE = 48 << 20
+#: Chunks of more bytes are not remembered.
+LONG = 64
 #: Letters beyond ASCII that are taken without the library's normaliser if it maps them one to one.
 PLAIN_LETTERS = range(0xC0, 0x180)
 
@@ -50,9 +54,9 @@ class Encoder:
         plain = dict(vocab=model["vocab"], merges=merges)
         self.inner = models.BPE(**plain)
         self.last = models.BPE(**plain, end_of_word_suffix=self.suffix) if self.suffix else self.inner
-        self.token = {i: t.encode() for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token |= {i: t.encode() for t, i in self.special.items()}
+        token = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
+        self.tokens = pa.array([token.get(i) for i in range(max(token, default=-1) + 1)], pa.large_string())
         self.marked = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.mark = re.compile(b"|".join(re.escape(m.encode()) for m in self.special) or b"(?!)")
         self.within: set[tuple[str, str]] = set()
@@ -73,8 +77,13 @@ class Encoder:
     def _afresh(self) -> None:
         """Start a generation; what the last one knew is still at hand, and older things are forgotten."""
         self.old_known, self.old_words = getattr(self, "known", {}), getattr(self, "words", {})
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        self._afresh()
+        self._afresh()
 
     def fragments(self, piece: str) -> list[str]:
         """Cut a piece (in the byte alphabet) wherever no token could reach across."""
@@ -88,65 +97,66 @@ class Encoder:
         out.append(piece[start:])
         return out
 
-    def encoded(self, piece: str) -> tuple[bytes, bytes]:
-        """A piece in the byte alphabet to its ids (as int32 bytes) and tokens."""
+    def encoded(self, piece: str) -> bytes:
+        """A piece in the byte alphabet to its ids (as int32 bytes)."""
         *inner, last = self.fragments(piece)
-        tokens = [t for x in inner for t in self.inner.tokenize(x)]
-        tokens += self.last.tokenize(last)
-        return array("i", [t.id for t in tokens]).tobytes(), " ".join([t.value for t in tokens]).encode()
+        tokens = [t.id for x in inner for t in self.inner.tokenize(x)]
+        return array("i", tokens + [t.id for t in self.last.tokenize(last)]).tobytes()
 
-    def word(self, piece: str) -> tuple[bytes, bytes]:
+    def word(self, piece: str) -> bytes:
         """The same for a piece of plain text."""
         found = self.words.get(piece)
         if found is None:
             found = self.old_words.get(piece)
             if found is None:
                 found = self.encoded(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet))
+            if len(piece) > LONG:
+                return found
             self.words[piece] = found
+            self.held += 2 * OBJECT + len(piece) + len(found)
         return found
 
-    def plain(self, text: str) -> list[tuple[bytes, bytes]]:
-        """Parts of a text without special tokens."""
-        return [self.encoded(p) for p, _ in self.splitter.pre_tokenize_str(self.normal.normalize_str(text))]
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        return b"".join([self.encoded(p) for p, _ in self.splitter.pre_tokenize_str(self.normal.normalize_str(text))])
 
-    def chunk(self, raw: bytes) -> list[tuple[bytes, bytes]]:
-        """Parts of a stretch without ASCII white space."""
+    def learn(self, raw: bytes) -> bytes:
+        """Ids of a stretch without ASCII white space."""
         text = raw.decode("utf-8", "replace")
         if self.mark.search(raw) is None:
             if self.simple.fullmatch(text):
-                return [self.word(p) for p in self.pieces.findall(text.translate(self.lower))]
+                return b"".join([self.word(p) for p in self.pieces.findall(text.translate(self.lower))])
             return self.plain(text)
         out, at = [], 0
         for m in self.marked.finditer(text):
-            out += self.plain(text[at : m.start()])
-            out.append((array("i", [self.special[m[0]]]).tobytes(), m[0].encode()))
+            out += [self.plain(text[at : m.start()]), array("i", [self.special[m[0]]]).tobytes()]
             at = m.end()
-        return out + self.plain(text[at:])
-
-    def learn(self, raw: bytes) -> tuple[bytes, bytes]:
-        parts = self.chunk(raw)
-        if len(parts) == 1:
-            return parts[0]
-        return b"".join([i for i, _ in parts]), b" ".join([t for _, t in parts])
-
-    def text(self, raw: bytes) -> tuple[bytes, bytes]:
-        """The ids (as int32 bytes) and the decoded text of a whole text."""
-        chunks, ids, texts = raw.split(), [], []
-        for at in range(0, len(chunks), self.cache):  # a huge text is taken in blocks
-            block = chunks[at : at + self.cache]
-            if len(self.known) + len(self.words) > self.cache:
+        return b"".join(out) + self.plain(text[at:])
+
+    def text(self, raw: bytes) -> bytes:
+        """The ids (as int32 bytes) of a whole text."""
+        ids = []
+        for piece in pieces(raw):
+            block = piece.split()
+            if self.held > self.cache:
                 self._afresh()
-            own = self.known
+            own, long = self.known, []
             for c in set(block).difference(own):
-                own[c] = self.old_known.get(c) or self.learn(c)
-            a, b = zip(*map(own.__getitem__, block))
-            ids.append(b"".join(a))
-            texts += filter(None, b)
-        return b"".join(ids), b" ".join(texts)
-
-    def decode(self, ids) -> str:
+                found = self.old_known.get(c)
+                own[c] = found = self.learn(c) if found is None else found
+                if len(c) > LONG:
+                    long.append(c)
+                else:
+                    self.held += 2 * OBJECT + len(c) + len(found)
+            ids += map(own.__getitem__, block)
+            for c in long:
+                del own[c]
+        return b"".join(ids)
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
         """As the library decodes without a decoder: tokens joined by a space."""
-        return b" ".join(self.token[i] for i in ids).decode()
+        tokens = pc.take(self.tokens, ids.flatten())
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, tokens), pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
 _encoders: dict[str, Encoder] = {}
@@ -164,11 +174,11 @@ def _work(path: str) -> Callable[[], Callable[[list[bytes]], list[pa.Array]]]:
 
         def work(texts: list[bytes]) -> list[pa.Array]:
             made = [enc.text(t) for t in texts]
-            sizes = np.fromiter((len(i) // 4 for i, _ in made), np.int32, len(made))
-            flat = np.frombuffer(b"".join(i for i, _ in made), np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]).astype(np.int32)), pa.array(flat))
-            return [ids, pa.array([t for _, t in made], pa.binary()).cast(pa.string())]
+            ends = np.cumsum([0, *(len(i) // 4 for i in made)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), np.int32)))
+            return [ids, enc.decode(ids)]
 
+        work.close = enc.forget
         return work
 
     return start
@@ -194,8 +204,9 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> tuple[DataFrame, str
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            lists = b.column(columns.index(ids)).to_pylist()
-            text = pa.array([enc.decode(x or []) for x in lists], pa.string())
+            lists = b.column(columns.index(ids)).fill_null([])
+            ends = pa.array(np.cumsum([0, *pc.list_value_length(lists).to_pylist()]).astype(np.int32))
+            text = enc.decode(pa.ListArray.from_arrays(ends, lists.flatten().cast(pa.int32())))
             yield pa.RecordBatch.from_arrays([*b.columns, text], names=[*columns, name])
 
     return rows.mapInArrow(run, schema), name

@@ -8,17 +8,20 @@ Decision thresholds are calibrated for each language on all labelled training
 rows, by histograms made on the executors; a language with fewer than POSITIVES
 positive rows takes the threshold of all rows. The score itself never sees language, source, labels or id.
 
-The fit takes a bounded sample of the labelled training rows (TRAIN_WORDS words
-at most, drawn by hash); every document is scored in full.
+The fit takes a bounded sample of the labelled training rows (TRAIN_ROWS rows and
+TRAIN_BYTES bytes at most, drawn by hash; rows that share an id count once, and a
+text of more than a twentieth of the bytes is passed over); every document is
+scored in full, however long, block by block.
 
 Defined results: a null or empty text is scored from its empty maxima (a low
 score); repeated rows get equal scores; rows with null labels are not learned
-from; without labelled rows every score is 0; extra columns are ignored.
+from; without labelled rows of both classes every score is 0; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, annotate, fresh, stored
+from .common import OBJECT, WORD_TABLE, annotate, fresh, pieces, stored
 
 BITS, DIM, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 8
 #: Bytes of a word that its table rows are hashed from: beginnings, and the whole of it (words are cut nowhere).
 PARTS = (4, 5, 6, 1 << 30)
-TRAIN_ROWS, TRAIN_WORDS = 6_000, 3_000_000
+#: Rows of the sample that the network is fitted on, and bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 4_000, 12 << 20
 EPOCHS, BATCH = 8, 32
-#: Words scored at a time; neighbouring blocks share the words that a filter may straddle.
-BLOCK = 100_000
-CACHE = 400_000
+#: Bytes of text scored at a time; words that a filter may straddle are carried on to the next block.
+BLOCK = 1 << 20
+#: Bytes of words and their embeddings that a task remembers.
+CACHE = 48 << 20
 #: Bins of the scores that thresholds are cut from, and the positive rows that a language's own threshold takes.
 BINS, POSITIVES = 1_000, 20
 
@@ -48,14 +53,19 @@ def rows_of(word: bytes) -> tuple[int, ...]:
 
 
 class Words(dict):
-    """word to a number; parts() has the table rows of each number."""
+    """word to a number; parts has the table rows of those numbered since it was cleared."""
 
     def __init__(self):
+        self.clear_parts()
+
+    def clear_parts(self) -> None:
         self.parts: list[tuple[int, ...]] = []
+        self.bytes = 0
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = out = len(self.parts)
+        self[word] = out = len(self)
         self.parts.append(rows_of(word))
+        self.bytes += len(word)
         return out
 
     def numbers(self, text: bytes) -> np.ndarray:
@@ -75,14 +85,13 @@ class Network:
     def embed(self, parts: np.ndarray) -> np.ndarray:
         return self.table[parts].sum(1)
 
-    def peaks(self, embedded: Callable[[int, int], np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of one text of n words: each filter's maximum (zero at least) and where it starts (-1: nowhere)."""
+    def peaks(self, blocks: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of one text, embedded block by block: each filter's maximum (zero at least) and where it starts (-1: nowhere)."""
         best = np.zeros(len(self.bias), np.float32)
         where = np.full(len(self.bias), -1, np.int64)
         reach = max(WIDTHS) - 1
-        for at in range(0, n, BLOCK):
-            own = embedded(at, min(at + BLOCK + reach, n))
-            x, size = np.concatenate([own, np.zeros((reach, DIM), np.float32)]), len(own)
+
+        def take(x: np.ndarray, size: int, at: int) -> None:
             for k, f in enumerate(self.filters):
                 y = x[:size] @ f[0]
                 for j in range(1, len(f)):
@@ -93,10 +102,21 @@ class Network:
                 more = high > best[s]
                 best[s] = np.where(more, high, best[s])
                 where[s] = np.where(more, top + at, where[s])
+
+        held, at = np.zeros((0, DIM), np.float32), 0
+        for own in blocks:
+            if len(held) and len(own) >= reach:
+                take(np.concatenate([held, own[:reach]]), len(held), at)
+                at += len(held)
+                held = own
+            else:
+                held = np.concatenate([held, own]) if len(held) else own
+        if len(held):  # the last words are followed by zeros
+            take(np.concatenate([held, np.zeros((reach, DIM), np.float32)]), len(held), at)
         return best, where
 
-    def logit(self, embedded: Callable[[int, int], np.ndarray], n: int) -> float:
-        return float(self.peaks(embedded, n)[0] @ self.out + self.base)
+    def logit(self, blocks: Iterable[np.ndarray]) -> float:
+        return float(self.peaks(blocks)[0] @ self.out + self.base)
 
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.05, seed: int = 9) -> None:
         """Adagrad; the gradient reaches only the words under each filter's maximum."""
@@ -115,20 +135,25 @@ class Network:
                 ids = order[s : s + BATCH]
                 for i in ids:
                     rows = texts[i]
-                    best, where = self.peaks(lambda a, b: self.embed(rows[a:b]), len(rows))
+                    x = self.embed(rows)
+                    best, where = self.peaks([x])
                     p = 1 / (1 + np.exp(-np.clip(best @ self.out + self.base, -30, 30)))
                     g = float((p - labels[i]) * weight[i]) / len(ids)
                     g_base += g
                     grads[-1] += g * best
                     down = g * self.out * (where >= 0)
                     grads[-2] += down
-                    for f in np.flatnonzero(down):
-                        k, c = divmod(int(f), FILTERS)
-                        span = rows[where[f] : where[f] + WIDTHS[k]]
-                        grads[k][: len(span), :, c] += down[f] * self.embed(span)
-                        pull = down[f] * self.filters[k][: len(span), :, c]
-                        touched.append(span.ravel())
-                        pulls.append(np.repeat(pull, len(PARTS), axis=0))
+                    if not len(rows):
+                        continue
+                    for k, f in enumerate(self.filters):
+                        own = slice(k * FILTERS, (k + 1) * FILTERS)
+                        at = np.maximum(where[own], 0)[:, None] + np.arange(len(f))
+                        part = down[own, None] * (at < len(rows))  # filter, place
+                        at = np.minimum(at, len(rows) - 1)
+                        grads[k] += (part[..., None] * x[at]).transpose(1, 2, 0)
+                        pull = part[..., None] * f.transpose(2, 0, 1)
+                        touched.append(rows[at].ravel())
+                        pulls.append(np.repeat(pull.reshape(-1, DIM), len(PARTS), axis=0))
                 for p, g, a in zip(dense, grads, sums):
                     g += 1e-5 * p
                     a += g * g
@@ -190,25 +215,31 @@ def _calibrated(net: Network, docs: DataFrame, known: DataFrame, sampled: list[i
 
 
 class Scorer:
-    """Scores texts, remembering the embeddings of the words met so far."""
+    """Scores texts, remembering the embeddings of the words met so far, CACHE bytes of them at most and a block's."""
 
     def __init__(self, net: Network):
         self.net = net
         self._afresh()
 
     def _afresh(self) -> None:
-        self.words, self.known, self.filled = Words(), np.zeros((1 << 16, DIM), np.float32), 0
+        self.words, self.known, self.held = Words(), np.zeros((1 << 14, DIM), np.float32), 0
 
-    def logit(self, text: bytes) -> float:
-        if self.filled > CACHE:
+    def embedded(self, piece: bytes) -> np.ndarray:
+        if self.held > CACHE:
             self._afresh()
-        numbers = self.words.numbers(text)
-        if (have := len(self.words.parts)) > self.filled:
-            if have > len(self.known):
-                self.known = np.concatenate([self.known, np.zeros((max(have, len(self.known)), DIM), np.float32)])
-            self.known[self.filled : have] = self.net.embed(np.array(self.words.parts[self.filled :], np.int64))
-            self.filled = have
-        return self.net.logit(lambda a, b: self.known[numbers[a:b]], len(numbers))
+        numbers, new = self.words.numbers(piece), self.words.parts
+        if new:
+            have = len(self.words)
+            start = have - len(new)
+            while have > len(self.known):
+                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+            self.known[start:have] = self.net.embed(np.array(new, np.int64))
+            self.held += self.words.bytes + len(new) * (2 * OBJECT + 4 * DIM)
+            self.words.clear_parts()
+        return self.known[numbers]
+
+    def logit(self, text: bytes) -> float:
+        return self.net.logit(map(self.embedded, pieces(text, BLOCK)))
 
 
 class Model:
@@ -229,33 +260,48 @@ class Model:
         return scores
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS, text: str = "text") -> Model:
-    """Fit on labelled rows of docs (doc_id, text, lang if there): rows of them, of words words, at most, drawn by hash."""
+def _drawn(ids: DataFrame, rows: int, size: int) -> dict[int, int]:
+    """Of ids (doc_id, y, bytes), those of the sample with their labels: by hash, as long as their bytes fit, both classes if there are both.
+
+    The driver sees rows * 1.2 ids at most. A text of more than a twentieth of the bytes is never in.
+    """
+    ids = ids.where(F.col("bytes") <= size // 20).withColumn("place", F.xxhash64("doc_id"))
+    first = lambda df, n: df.orderBy("place", "doc_id").limit(n)
+    few = max(1, rows // 10)
+    out, held = {}, 0
+    for part, budget in ((first(ids.where("y = 1"), few), size // 10), (first(ids.where("y = 0"), few), size // 5), (first(ids, rows), size)):
+        for r in part.toLocalIterator():
+            if r["doc_id"] not in out and len(out) < rows and held + r["bytes"] <= budget:
+                out[r["doc_id"]] = r["y"]
+                held += r["bytes"]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, text: str = "text") -> Model:
+    """Fit on labelled rows of docs (doc_id, text, lang if there): rows of them, of size bytes in all, at most, drawn by hash."""
+    spark = docs.sparkSession
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
     known = labels.where(f"{label} in (0, 1)").groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     own = docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # The ids are drawn first, so that no more than the sample's texts move.
-    drawn = own.select("doc_id").join(known, "doc_id").withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(rows)
-    picked = own.join(F.broadcast(drawn.dropDuplicates(["doc_id"])), "doc_id").select("place", "doc_id", "y", "text")
+    sized = own.groupBy("doc_id").agg(F.max(F.octet_length("text")).cast("long").alias("bytes")).join(known, "doc_id")
+    drawn = _drawn(stored(sized), rows, size)
+    if not any(drawn.values()) or all(drawn.values()):
+        return Model(None, {})
+    chosen = F.broadcast(spark.createDataFrame(list(drawn.items()), "doc_id long, y int"))
+    picked = own.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def hashed(batches):
-        lexicon = Words()
         for b in batches:
-            numbers = [lexicon.numbers(t)[:words] for t in b.column(3).cast(pa.large_binary()).to_pylist()]
-            parts = np.array(lexicon.parts or [(0,) * len(PARTS)], np.int32)
-            lists = [parts[n] for n in numbers]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([x.tobytes() for x in lists], pa.binary())], names=["place", "doc_id", "y", "parts"])
-
-    got, held = [], 0
-    for r in picked.mapInArrow(hashed, "place long, doc_id long, y int, parts binary").orderBy("place", "y", "parts").toLocalIterator():
-        parts = np.frombuffer(r["parts"], np.int32).reshape(-1, len(PARTS))
-        held += len(parts)
-        if held > words and got:
-            break
-        got.append((parts, r["y"], r["doc_id"]))
+            lists = []
+            for t in b.column(2).cast(pa.large_binary()).to_pylist():
+                lexicon = Words()
+                numbers = lexicon.numbers(t)
+                lists.append(np.array(lexicon.parts, np.int32).reshape(-1, len(PARTS))[numbers])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([x.tobytes() for x in lists], pa.binary())], names=["doc_id", "y", "parts"])
+
+    got = [(np.frombuffer(r["parts"], np.int32).reshape(-1, len(PARTS)), r["y"], r["doc_id"]) for r in picked.mapInArrow(hashed, "doc_id long, y int, parts binary").orderBy("doc_id").toLocalIterator()]
     y = np.array([g[1] for g in got], np.float64)
-    if not len(got) or not y.any() or y.all():
-        return Model(None, {})
     net = Network()
     net.fit([g[0] for g in got], y)
     return Model(net, _calibrated(net, own, known, [g[2] for g in got]))
