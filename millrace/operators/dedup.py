@@ -5,39 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
+from ..sources.shared import folder, kept
 
 # Thresholds for questions and answers.
 GREEDY_Q, GREEDY_A = 0.90, 0.95
 ONLINE_Q, ONLINE_A = 0.92, 0.90
 
 
-def leaders(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+#: Open links that one task finishes by the plain scan.
+FEW = 100_000
+
+
+def _scan(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """The plain scan over few open links, in one task: id, leader. state (id, leader) has what is decided among their lower ends."""
+
+    def scan(pdf):
+        import pandas as pd
+
+        lead, out = {}, []
+        known = pdf[pdf["lead"].notna()]
+        lead.update(zip(known["lo"].tolist(), known["lead"].astype("int64").tolist()))
+        for hi, own in pdf.sort_values(["hi", "lo"]).groupby("hi", sort=True):
+            near = next((lo for lo in own["lo"].tolist() if lead.get(lo) == lo), hi)
+            lead[hi] = near
+            out.append((hi, near))
+        return pd.DataFrame(out, columns=["id", "leader"])
+
+    met = edges.join(state.select(F.col("id").alias("lo"), F.col("leader").alias("lead")), "lo", "left")
+    return met.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(scan, "id long, leader long")
+
+
+def leaders(nodes: DataFrame, edges: DataFrame, few: int = FEW) -> DataFrame:
     """Nodes (id) that a scan in order of id keeps: id, leader (itself if kept), for edges (lo, hi), lo < hi.
 
     A node leads once all its smaller neighbours are absorbed, and is absorbed once a smaller
-    neighbour leads; it belongs to the smallest that does. Equal to the sequential loop, in as
-    many rounds as the longest chain of decisions.
+    neighbour leads; it belongs to the smallest that does. Equal to the sequential loop. Each round
+    decides at least the smallest open node and writes what it decided only; once no more than few
+    links are open, one task ends the scan.
     """
-    edges = kept(edges.select("lo", "hi").distinct())
-    state = kept(nodes.select("id").distinct().join(edges.select(F.col("hi").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))
-    everyone = nodes.select("id").distinct()
-    for _ in range(rounds):
-        open_nodes = everyone.join(state.select("id"), "id", "left_anti")
-        known = state.select(F.col("id").alias("lo"), F.col("leader").alias("lead"))
-        seen = edges.join(open_nodes.withColumnRenamed("id", "hi"), "hi").join(known, "lo", "left")
-        per = seen.groupBy(F.col("hi").alias("id")).agg(
+    spark, path = nodes.sparkSession, folder(nodes.sparkSession)
+    cast = lambda df, *names: df.select(*(F.col(n).cast("long").alias(n) for n in names))
+    open_edges = kept(cast(edges, "lo", "hi").where("lo < hi").distinct())
+    free = cast(nodes, "id").distinct().join(open_edges.select(F.col("hi").alias("id")).distinct(), "id", "left_anti")
+    free.select("id", F.col("id").alias("leader")).write.parquet(path)
+    state = lambda: spark.read.schema("id long, leader long").parquet(path)
+    while left := open_edges.limit(few + 1).count():
+        if left <= few:
+            _scan(state(), open_edges).write.mode("append").parquet(path)
+            break
+        known = state().select(F.col("id").alias("lo"), F.col("leader").alias("lead"))
+        per = open_edges.join(known, "lo", "left").groupBy(F.col("hi").alias("id")).agg(
             F.min(F.when(F.col("lead") == F.col("lo"), F.col("lo"))).alias("near"),
             F.min(F.when(F.col("lead").isNull(), F.col("lo"))).alias("unsure"),
         )
         # Absorbed by a leader that no undecided node could come before, or leading as all smaller neighbours are absorbed.
         done = per.where("near is not null and (unsure is null or near < unsure)").select("id", F.col("near").alias("leader"))
-        done = done.unionByName(per.where("near is null and unsure is null").select("id", F.col("id").alias("leader")))
-        grown = kept(state.unionByName(done))
-        if grown.count() == state.count():
-            return grown
-        state = grown
-    raise RuntimeError("clustering did not settle")
+        done = kept(done.unionByName(per.where("near is null and unsure is null").select("id", F.col("id").alias("leader"))))
+        done.write.mode("append").parquet(path)
+        open_edges = kept(open_edges.join(done.select(F.col("id").alias("hi")), "hi", "left_anti"))
+    return state()
 
 
 def report(state: DataFrame, qa: DataFrame, answers: DataFrame, least: float = GREEDY_A) -> DataFrame:

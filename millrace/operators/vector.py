@@ -32,12 +32,11 @@ def encode_text(text: str, dim: int = DIM) -> list[float]:
     return out
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    width = max((len(r) for r in rows if r is not None), default=0)
-    out = np.full((len(rows), width), np.nan)
-    for k, r in enumerate(rows):
-        if r is not None and len(r) == width:
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of an Arrow batch; one that is null or of another length is all NaN."""
+    out = np.full((len(column), width), np.nan)
+    for k, r in enumerate(column.to_pylist()):
+        if r is not None and len(r) == width and None not in r:
             out[k] = r
     return out
 
@@ -50,19 +49,18 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def search(queries: DataFrame, rows: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
     """query_id, idx, score (cosine) of the k best rows, or of all rows from least on.
 
-    queries: (query_id, vec); rows: (idx, vec). A vector of length zero (or null) has no cosine and is
-    left out. Each batch hands on its k best for a query, so no more than that is shuffled.
+    queries: (query_id, vec); rows: (idx, vec). A vector of length zero (or null), or of another
+    number of dimensions than the query's, has no cosine and is left out. Each batch hands on its k best for a query, so no more than that is shuffled.
     """
-    out, block, spark = None, [], rows.sparkSession
+    parts: list[DataFrame] = []
+    blocks: dict[int, list] = {}
 
     def run(ids: list, matrix: np.ndarray) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not len(b):
                     continue
-                unit = _unit(_matrix(b.column(1)))
-                if unit.shape[1] != matrix.shape[1]:
-                    continue
+                unit = _unit(_matrix(b.column(1), matrix.shape[1]))
                 scores = np.nan_to_num(unit @ matrix.T, nan=-2.0)
                 keep = scores > -1.5
                 if least is not None:
@@ -75,15 +73,21 @@ def search(queries: DataFrame, rows: DataFrame, k: int | None = None, least: flo
 
         return rows.select(F.col("idx").cast("long").alias("idx"), "vec").mapInArrow(work, "query_id long, idx long, score double")
 
+    def flush(width: int) -> None:
+        block = blocks.pop(width)
+        parts.append(run([b[0] for b in block], _unit(np.array([b[1] for b in block], np.float64).reshape(len(block), width))))
+
     for r in queries.where("vec is not null").select("query_id", "vec").toLocalIterator():
+        block = blocks.setdefault(len(r[1]), [])
         block.append((r[0], r[1]))
         if len(block) == BLOCK:
-            part = run([b[0] for b in block], _unit(np.array([b[1] for b in block], np.float64)))
-            out, block = part if out is None else out.union(part), []
-    if block or out is None:
-        made = np.array([b[1] for b in block], np.float64) if block else np.zeros((0, 1))
-        part = run([b[0] for b in block], _unit(made))
-        out = part if out is None else out.union(part)
+            flush(len(r[1]))
+    for width in list(blocks) or [1]:
+        blocks.setdefault(width, [])
+        flush(width)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
     scored = out.withColumn("score", F.round("score", 6))
     if least is not None:
         scored = scored.where(F.col("score") >= least)

@@ -143,7 +143,7 @@ def sliding_windows(spark, sf_dir):
 )
 def node_status_fold(spark, sf_dir):
     """Status of every node over its events, with state of our own."""
-    return progress.drained(progress.fold(progress.events(spark, sf_dir)), folder(spark), "update")
+    return progress.drained(progress.fold(progress.events(spark, sf_dir)), folder(spark), "update", ("node",))
 
 
 @query(

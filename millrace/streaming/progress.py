@@ -42,8 +42,12 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def drained(result: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that its source has now, batch by batch, and return the sink's rows."""
+def drained(result: DataFrame, folder: str, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream over all that its source has now, batch by batch, and return the sink's rows.
+
+    In update mode keys name a row; of a key's rows the last batch's counts. The same folder again
+    resumes after the last batch that was committed: a batch that was tried twice counts once.
+    """
     spark, schema = result.sparkSession, result.schema
     if mode == "append":
         q = result.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
@@ -51,15 +55,19 @@ def drained(result: DataFrame, folder: str, mode: str = "complete") -> DataFrame
         return spark.read.schema(schema).parquet(f"{folder}/rows")
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows-{n}")
-        done.append(n)
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
 
-    done: list[int] = []
     q = result.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    if not done:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/rows-{done[-1]}")
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
+    if mode == "update" and keys:
+        row = F.struct(*(F.col(c) for c in result.columns))
+        return rows.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.max_by(row, "batch").alias("r")).select("r.*")
+    last = rows.agg(F.max("batch").alias("last"))
+    return rows.join(F.broadcast(last), rows["batch"] == last["last"], "left_semi").select(result.columns)  # one row
 
 
 #: What an event makes of a node that isn't done.
