@@ -26,6 +26,11 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
+def registered(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _sql[name]
+
+
 def queries() -> dict[str, Query]:
     from . import plans  # noqa: F401  registers its queries on import
 

@@ -44,6 +44,21 @@ def keywords(t: Column) -> Column:
     return F.filter(words(t), lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
 
 
+def bare_word(w: Column) -> Column:
+    """The default lemma and stem: a word without the ending of a plural."""
+    return F.regexp_replace(w, "(ies|es|s)$", "")
+
+
+def ascii_words(t: Column) -> Column:
+    """Distinct words of ASCII letters and digits of the normalised text."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(normalize(t), "[^a-z0-9 ]", ""), " "), lambda w: w != ""))
+
+
+def stem_words(t: Column, stem=bare_word) -> Column:
+    """Distinct stems of the words."""
+    return F.array_distinct(F.transform(words(t), stem))
+
+
 def ngrams(t: Column, n: int = 3) -> Column:
     """Distinct character n-grams without spaces; none if the text is shorter."""
     s = F.replace(F.lower(F.coalesce(t, F.lit(""))), F.lit(" "), F.lit(""))

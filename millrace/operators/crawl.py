@@ -88,3 +88,9 @@ def within_depth(nodes: DataFrame, most: int) -> DataFrame:
     """Nodes beyond the depth stay, unvisited and without content."""
     far = F.col("depth") > most
     return nodes.withColumns({"visited": ~far, "content": F.when(far, F.lit(None)).otherwise(F.col("content")) if "content" in nodes.columns else F.lit(None).cast("string")})
+
+
+def relations(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows (keys, heading, content, link, pos): a heading's last content, and all its links in order."""
+    links = F.transform(F.sort_array(F.collect_list(F.when(F.col("link").isNotNull(), F.struct("pos", "link")))), lambda x: x["link"])
+    return rows.groupBy(*keys, "heading").agg(F.max_by("content", F.when(F.col("content").isNotNull(), F.col("pos"))).alias("content"), links.alias("links"))

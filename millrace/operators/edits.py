@@ -44,6 +44,17 @@ def merged_text(texts: Column) -> Column:
     return F.array_join(F.filter(texts, lambda x: F.trim(x) != ""), " ")
 
 
+def pair_at(at: int) -> Column:
+    """The pair at a position; an error if the topic has none there."""
+    return F.when((F.lit(at) >= 0) & (F.size(PAIRS) > at), F.get(PAIRS, F.lit(at))).otherwise(F.raise_error(F.lit(f"no pair at {at}")).cast("void"))
+
+
+def remove_at(topics: DataFrame, at: int) -> DataFrame:
+    """Drop the pair at a position of every topic; an error in a topic that has none there."""
+    left = F.filter(PAIRS, lambda x, i: i != at)
+    return _counted(topics.withColumn(PAIRS, F.when((F.lit(at) >= 0) & (F.size(PAIRS) > at), left).otherwise(F.raise_error(F.lit(f"no pair at {at}")).cast("void"))))
+
+
 # Answers of language services -----------------------------------------------------------------------
 
 

@@ -91,3 +91,28 @@ def reranked(candidates: DataFrame, logit, least: float = 0.5) -> DataFrame:
     out = candidates.withColumn("score", score)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "idx")
     return out.select("query_id", "idx", "score", (F.col("score") >= least).alias("passed"), F.row_number().over(order).alias("rank"))
+
+
+def verified(best: DataFrame, queries: DataFrame, qa: DataFrame, verify) -> DataFrame:
+    """Answers (query_id, idx, score) with the verdict of an injected verifier (query and answer columns to a column); only entailed ones stay answers."""
+    texts = best.join(queries.select("query_id", "query"), "query_id").join(qa.select("idx", "answer"), "idx")
+    verdict = verify(F.col("query"), F.col("answer"))
+    return texts.select("query_id", "idx", "score", verdict.alias("verdict")).withColumn("accepted", F.col("verdict") == "Entailment")
+
+
+def rescored(candidates: DataFrame, queries: DataFrame, qa: DataFrame, rerank, least: float = 0.5) -> DataFrame:
+    """Candidates by an injected reranker's logit of query and pair, as reranked() has them."""
+    texts = candidates.select("query_id", "idx").distinct().join(queries.select("query_id", "query"), "query_id").join(qa.select("idx", F.concat_ws(" ", "question", "answer").alias("pair")), "idx")
+    return reranked(texts, rerank(F.col("query"), F.col("pair")), least)
+
+
+def filtered(queries: DataFrame, qa: DataFrame, entities) -> DataFrame:
+    """Pairs that each query's entities leave: those with one of them in question or answer (query_id, idx); a query without entities has none.
+
+    entities is an injected column function from a query to an array of names, which are words of the normalised text.
+    """
+    from ..functions import text as tx
+
+    named = queries.select("query_id", F.explode(entities(F.col("query"))).alias("word"))
+    words = qa.select("idx", F.explode(tx.words(F.concat_ws(" ", "question", "answer"))).alias("word"))
+    return named.join(words, "word").select("query_id", "idx").distinct()

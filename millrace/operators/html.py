@@ -61,6 +61,10 @@ class Collector(HTMLParser):
                 own["text"].append(data)
 
 
+#: Elements that are handed on at a time.
+HANDED = 5_000
+
+
 def _flat(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
@@ -72,6 +76,8 @@ def elements(pages: DataFrame) -> DataFrame:
     """One row an element of (page_id, url, html), in document order; article is the pos of the innermost article around it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()))
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in _ELEMENTS.split(", ")])
         for b in batches:
             rows: list[tuple] = []
             for page, url, html in zip(*(c.to_pylist() for c in b.columns)):
@@ -79,8 +85,11 @@ def elements(pages: DataFrame) -> DataFrame:
                 c.feed(html or "")
                 c.close()
                 rows += [(page, url, k, e["kind"], e["tag"], _flat(e["text"]), e["zone"], e["article"], list(e["attrs"].items())) for k, e in enumerate(c.found)]
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in _ELEMENTS.split(", ")])
+                if len(rows) > HANDED:
+                    yield pack(rows)
+                    rows = []
+            if rows:
+                yield pack(rows)
 
     return pages.select("page_id", "url", "html").mapInArrow(work, _ELEMENTS)
 
@@ -101,6 +110,71 @@ def page_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(work, "page_id long, text string")
 
 
+class Siblings(HTMLParser):
+    """Headings and links with what stands around them: whether a paragraph is among the next five siblings, and the parent's HTML."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.html, self.lines = html, [0]
+        for k, c in enumerate(html):
+            if c == "\n":
+                self.lines.append(k + 1)
+        root = {"tag": "", "children": [], "start": 0, "end": len(html), "text": [], "parent": None}
+        self.open, self.all = [root], []
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "p" and self.open[-1]["tag"] == "p":
+            self.open.pop()["end"] = self._at()
+        node = {"tag": tag, "children": [], "start": self._at(), "end": None, "text": [], "parent": self.open[-1], "href": dict(attrs).get("href"), "place": len(self.open[-1]["children"])}
+        self.open[-1]["children"].append(tag)
+        if tag in HEADINGS or tag == "a":
+            self.all.append(node)
+        if tag not in VOID:
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k]["tag"] == tag:
+                for node in self.open[k + 1 :]:
+                    node["end"] = self._at()
+                self.open[k]["end"] = self.html.find(">", self._at()) + 1
+                del self.open[k:]
+                return
+
+    def handle_data(self, data):
+        for node in self.open:
+            if node["tag"] in HEADINGS or node["tag"] == "a":
+                node["text"].append(data)
+
+    def rows(self, chars: int, reach: int) -> Iterator[tuple]:
+        for k, n in enumerate(self.all):
+            up = n["parent"]
+            end = up["end"] if up["end"] is not None else len(self.html)
+            yield k, "link" if n["tag"] == "a" else "heading", _flat(n["text"]), n["href"], "p" in up["children"][n["place"] + 1 : n["place"] + 1 + reach], self.html[up["start"] : min(end, up["start"] + chars)]
+
+
+def siblings(pages: DataFrame, chars: int = 500, reach: int = 5) -> DataFrame:
+    """Headings and links of pages (page_id, html): page_id, pos, kind, text, href, paragraph_follows, context; page by page."""
+    names = "page_id long, pos int, kind string, text string, href string, paragraph_follows boolean, context string"
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for page, html in zip(*(c.to_pylist() for c in b.columns)):
+                own = Siblings(html or "")
+                own.feed(html or "")
+                own.close()
+                rows = [(page, *r) for r in own.rows(chars, reach)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in names.split(", ")])
+
+    return pages.select("page_id", "html").mapInArrow(work, names)
+
+
 def links(found: DataFrame, strip: bool = False) -> DataFrame:
     """Links of elements(); strip leaves out those in navigation, headers and footers."""
     own = found.where("element_type = 'link'").select("page_id", "url", "pos", "text", F.try_element_at("attrs", F.lit("href")).alias("href"), "zone")

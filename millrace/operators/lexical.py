@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fuzzy as spelling
 from ..functions import text as tx
+from ..sources.shared import kept
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -87,56 +88,94 @@ def bm25(queries: DataFrame, docs: DataFrame, keep: Column | None = None) -> Dat
     return hit.groupBy("query_id", "idx").agg(F.sum(part).alias("score"))
 
 
-def keywords(queries: DataFrame, qa: DataFrame) -> DataFrame:
-    """Keyword retrieval: a keyword scores 1 if a spelling of it occurs in the answer, else in question and answer.
+#: How well a keyword matches as a spelling, by its lemma and by its stem.
+EXACT, LEMMA, STEM = 1.0, 0.8, 0.3
 
-    match_count, coverage, idf_score (matched share of the keywords' idf over answers; unseen words
-    weigh the most) and match_quality. A query's few spellings are looked up as substrings, so
-    queries travel to the pairs as a whole; they are the stated query set.
+
+def _spelled(forms: DataFrame, posts: DataFrame, text: DataFrame) -> DataFrame:
+    """(idx, form, a) for the texts in which a spelling (form) occurs; a tells whether the answer has it.
+
+    A spelling without a space occurs within a word, so it meets the distinct words that have its
+    first three characters, and those that hold all of it lead to texts by posts (idx, word, a).
+    One with a space needs a word that begins with its last part; only the texts (idx, answer, both) with
+    such a word are looked into.
     """
+    last = F.element_at(F.split("form", " "), -1)
+    spaced = F.contains("form", F.lit(" "))
+    bits = forms.select("form", spaced.alias("spaced"), F.when(spaced, last).otherwise(F.col("form")).alias("part")).where("part <> ''")
+    bits = bits.withColumn("gram", F.left("part", F.lit(3)))
+    inside = F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 2, F.lit(1))), lambda i: F.substring("word", i, F.lit(3)))
+    begins = F.array(*(F.left("word", F.lit(n)) for n in (1, 2, 3)))
+    grams = posts.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(inside, begins))).alias("gram"))
+    met = bits.join(grams, "gram").where(F.when(F.col("spaced"), F.startswith("word", "part")).otherwise(F.contains("word", "part")))
+    near = met.select("form", "spaced", "word").join(posts, "word")
+    plain = near.where("not spaced").groupBy("idx", "form").agg(F.bool_or("a").alias("a"))
+    wide = near.where("spaced").select("idx", "form").distinct().join(text, "idx").where(F.contains("both", "form"))
+    return plain.unionByName(wide.select("idx", "form", F.contains("answer", "form").alias("a")))
+
+
+def keywords(queries: DataFrame, qa: DataFrame, lemma=tx.bare_word, stem=tx.bare_word) -> DataFrame:
+    """Keyword retrieval: how well a keyword matches the answer or, if it doesn't, question and answer.
+
+    1.0 if a spelling of it occurs, 0.8 if its lemma does, 0.3 if its stem (or a related one) does;
+    lemma and stem are injected column functions. match_count, coverage, idf_score (matched share of
+    the keywords' idf over answers; unseen words weigh the most), match_quality (the mean) and matched.
+    """
+    from ..functions import paths
+
     words = idf(qa.select("idx", F.col("answer").alias("text")))
     most = words.agg(F.coalesce(F.max("norm_idf"), F.lit(1.0)).alias("most"))
     kw = queries.select("query_id", F.explode(tx.keywords(F.col("query"))).alias("word"))
-    kw = kw.join(words.select("word", "norm_idf"), "word", "left").crossJoin(F.broadcast(most))
-    kw = kw.select("query_id", "word", F.coalesce("norm_idf", "most").alias("w"), tx.variants(F.col("word")).alias("forms"))
+    kw = kw.join(words.select("word", "norm_idf"), "word", "left").crossJoin(F.broadcast(most))  # one row
+    kw = kw.select("query_id", "word", F.coalesce("norm_idf", "most").alias("w"))
     total = kw.groupBy("query_id").agg(F.sum("w").alias("total"), F.count("*").alias("n"))
-    spelled = kw.select("query_id", "word", "w", F.explode("forms").alias("form"))
-    text = qa.select("idx", tx.normalize(F.col("answer")).alias("a"), tx.normalize(F.concat_ws(" ", "question", "answer")).alias("qa"))
-    forms = spelled.select("form").distinct()
-    if forms.limit(FORMS + 1).count() <= FORMS:  # the distinct spellings, one array of checked size, are looked up in one pass over the texts
-        listed = forms.agg(F.collect_list("form").alias("forms"))
-        spread = text.repartition(int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")), "idx")  # the look-up costs far more than the move
-        found = spread.crossJoin(F.broadcast(listed)).select("idx", F.explode(F.filter("forms", lambda f: F.contains(F.col("qa"), f))).alias("form")).join(spelled, "form")
-    else:  # too many for one array: spellings meet texts by a shared beginning
-        grams = text.select("idx", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("qa") - 2, F.lit(1))), lambda i: F.substring("qa", i, F.lit(3))))).alias("gram"))
-        near = forms.withColumn("gram", F.left("form", F.lit(3))).join(grams, "gram").select("idx", "form")
-        found = near.join(text, "idx").where(F.contains("qa", "form")).select("idx", "form").join(spelled, "form")
-    hit = found.select("query_id", "idx", "word", "w").distinct()
-    got = hit.groupBy("query_id", "idx").agg(F.count("*").alias("match_count"), F.sum("w").alias("matched"))
-    return got.join(total, "query_id").select("query_id", "idx", "match_count", (F.col("match_count") / F.col("n")).alias("coverage"), F.coalesce(F.try_divide("matched", "total"), F.lit(0.0)).alias("idf_score"), F.lit(1.0).alias("match_quality"))
-
-
-#: Distinct spellings that travel with the tasks.
-FORMS = 20_000
-
-
-def rerank(queries: DataFrame, qa: DataFrame, found: DataFrame) -> DataFrame:
-    """Retrieve-then-rerank: .30 idf + .25 + .20 keywords in answer + .10 and .05 Jaccard with question and answer + .05 n-grams.
-
-    The sets are compared as 64-bit hashes of their items, made once for each text.
+    every = kw.select("word").distinct()
+    both = F.concat_ws(" ", "question", "answer")
+    text = qa.select("idx", tx.normalize(F.col("answer")).alias("answer"), tx.normalize(both).alias("both"))
+    split = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda x: x != ""))
+    word = F.explode(F.transform(split("both"), lambda w: F.struct(w.alias("word"), F.array_contains("own", w).alias("a")))).alias("x")
+    posts = kept(text.withColumn("own", split("answer")).select("idx", word).select("idx", "x.word", "x.a"))
+    spelled = every.select("word", F.explode(tx.variants(F.col("word"))).alias("form"))
+    hits = _spelled(spelled.select("form").distinct(), posts, text).join(spelled, "form").select("word", "idx", "a", F.lit(EXACT).alias("s"))
+    # The lemmas of question and answer together are cut at their beginning, so they are not those of the answer and more.
+    item = lambda c, a: F.transform(paths.lemmas(c, lemma), lambda x: F.struct(x.alias("item"), F.lit(a).alias("a")))
+    own = qa.select("idx", F.explode(F.concat(item(F.col("answer"), True), item(both, False))).alias("x")).select("idx", "x.item", "x.a")
+    asked = every.select("word", lemma(F.col("word")).alias("item")).where(F.length("item") > 2)
+    hits = hits.unionByName(own.join(asked, "item").select("word", "idx", "a", F.lit(LEMMA).alias("s")))
+    asked = every.select("word", F.explode(F.array_union(F.array(stem(F.col("word"))), paths.related_stems(F.col("word"), stem))).alias("item"))
+    stemmed = posts.select("idx", stem(F.col("word")).alias("item"), "a")
+    hits = hits.unionByName(stemmed.join(asked, "item").select("word", "idx", "a", F.lit(STEM).alias("s")))
+    best = hits.groupBy("word", "idx").agg(F.coalesce(F.max(F.when(F.col("a"), F.col("s"))), F.max("s")).alias("s"))
+    got = kw.join(best, "word").groupBy("query_id", "idx").agg(
+        F.count("*").alias("match_count"), F.sum("w").alias("part"), F.avg("s").alias("match_quality"), F.array_join(F.sort_array(F.collect_list("word")), " ").alias("matched")
+    )
+    return got.join(total, "query_id").select("query_id", "idx", "match_count", (F.col("match_count") / F.col("n")).alias("coverage"), F.coalesce(F.try_divide("part", "total"), F.lit(0.0)).alias("idf_score"), "match_quality", "matched")
+
+
+def rerank(queries: DataFrame, qa: DataFrame, found: DataFrame, k: int | None = None) -> DataFrame:
+    """Retrieve-then-rerank: .30 idf + .25 + .20 keywords in answer + .10 and .05 Jaccard with question and answer + .05 n-grams + .05 likeness of spelling with the question.
+
+    Sets are compared as 64-bit hashes of their items, made once for each text. With k, rows that
+    can't be among a query's k best are left out before the last signal, the dearest, is looked at.
     """
     from ..functions import sets
 
     h = lambda items: F.transform(items, lambda x: F.xxhash64(x))
-    q = queries.select("query_id", h(tx.keywords(F.col("query"))).alias("kw"), h(tx.words(F.col("query"))).alias("qw"), h(tx.ngrams(F.col("query"))).alias("qg"))
-    d = qa.select("idx", h(tx.words(F.col("question"))).alias("dq"), h(tx.words(F.col("answer"))).alias("da"), h(tx.ngrams(F.col("question"))).alias("gq"), h(tx.ngrams(F.left("answer", F.lit(500)))).alias("ga"))
+    q = queries.select("query_id", h(tx.keywords(F.col("query"))).alias("kw"), h(tx.words(F.col("query"))).alias("qw"), h(tx.ngrams(F.col("query"))).alias("qg"), tx.ascii_words(F.col("query")).alias("qs"))
+    d = qa.select("idx", h(tx.words(F.col("question"))).alias("dq"), h(tx.words(F.col("answer"))).alias("da"), h(tx.ngrams(F.col("question"))).alias("gq"), h(tx.ngrams(F.left("answer", F.lit(500)))).alias("ga"), tx.ascii_words(F.col("question")).alias("ds"))
     both = found.join(q, "query_id").join(d, "idx")
     share = F.size(F.array_intersect("kw", "da")) / F.greatest(F.size("kw"), F.lit(1))
     score = (
         0.30 * F.col("idf_score") + 0.25 * share + 0.20 * share + 0.10 * sets.jaccard(F.col("qw"), F.col("dq"))
         + 0.05 * sets.jaccard(F.col("qw"), F.col("da")) + 0.05 * F.greatest(sets.jaccard(F.col("qg"), F.col("gq")), sets.jaccard(F.col("qg"), F.col("ga")))
     )
-    return both.select("query_id", "idx", score.alias("score"))
+    rated = both.select("query_id", "idx", score.alias("score"))
+    if k is not None:
+        rated = kept(rated)
+        edge = top(rated, k, F.desc("score"), F.asc("idx")).groupBy("query_id").agg(F.min("score").alias("edge"))
+        rated = rated.join(edge, "query_id").where(F.col("score") + 0.05 + 1e-5 >= F.col("edge")).drop("edge")
+    last = rated.join(q.select("query_id", "qs"), "query_id").join(d.select("idx", "ds"), "idx")
+    return last.select("query_id", "idx", (F.col("score") + 0.05 * spelling.set_ratio(F.col("qs"), F.col("ds"))).alias("score"))
 
 
 def p95(scored: DataFrame) -> DataFrame:

@@ -32,6 +32,12 @@ def encode_text(text: str, dim: int = DIM) -> list[float]:
     return out
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors of a row; null if one is of length zero."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of an Arrow batch; one that is null or of another length is all NaN."""
     out = np.full((len(column), width), np.nan)

@@ -92,25 +92,10 @@ def porter_search(spark, sf_dir):
     return _top(lexical.stemmed(asked(spark, sf_dir), _docs(pairs(spark, sf_dir)), lambda t: stems.stems(tx.words(t))), 10)
 
 
-def _ascii(x: str) -> str:
-    return f"list_distinct(list_filter(string_split(regexp_replace({S.norm(x)}, '[^a-z0-9 ]', '', 'g'), ' '), lambda w: w <> ''))"
-
-
-def _like(a: str, b: str) -> str:
-    return f"(1 - coalesce(levenshtein({a}, {b}) / nullif(greatest(length({a}), length({b})), 0), 0))"
-
-
-FUZZY = f"""y AS (SELECT query_id, idx, {_ascii('query')} AS q, {_ascii('question')} AS d FROM x JOIN ask USING (query_id) JOIN qa USING (idx)),
-z AS (SELECT query_id, idx, array_to_string(list_sort(list_intersect(q, d)), ' ') AS c, array_to_string(list_sort(list_filter(q, lambda w: NOT list_contains(d, w))), ' ') AS qo, array_to_string(list_sort(list_filter(d, lambda w: NOT list_contains(q, w))), ' ') AS dn FROM y),
-s AS (SELECT query_id, idx, c, trim(c || ' ' || qo) AS one, trim(c || ' ' || dn) AS two FROM z),
-r AS (SELECT query_id, idx, round(CASE WHEN c = '' THEN 0 ELSE greatest({_like('c', 'one')}, {_like('c', 'two')}, {_like('one', 'two')}) END, 6) AS score FROM s)"""
-
-
-@query(S.with_qa(S.shared("x", _ascii), FUZZY) + f"\n{LIST} FROM ({S.ranked('r', 10)})")
+@query(S.with_qa(S.shared("x", S.ascii_words), S.fuzzy("r", "x")) + f"\n{LIST} FROM ({S.ranked('r', 10)})")
 def fuzzy_search(spark, sf_dir):
     """Likeness of spelling of query and question, over ASCII letters and digits."""
-    words = lambda t: F.array_distinct(F.filter(F.split(F.regexp_replace(tx.normalize(t), "[^a-z0-9 ]", ""), " "), lambda w: w != ""))
-    return _top(lexical.fuzzy(asked(spark, sf_dir), _docs(pairs(spark, sf_dir)), words), 10)
+    return _top(lexical.fuzzy(asked(spark, sf_dir), _docs(pairs(spark, sf_dir)), tx.ascii_words), 10)
 
 
 @query(

@@ -103,38 +103,53 @@ def _variants_sql() -> str:
 
 
 KEYWORDS = f"""{IDF}, kw AS (SELECT query_id, word, coalesce(norm_idf, (SELECT max(norm_idf) FROM idf), 1.0) AS weight FROM (SELECT query_id, unnest({S.keywords('query')}) AS word FROM ask) LEFT JOIN idf USING (word)),
-total AS (SELECT query_id, sum(weight) AS total, count(*) AS n FROM kw GROUP BY query_id), form AS (SELECT query_id, word, weight, unnest({_variants_sql()}) AS form FROM kw),
-flat AS (SELECT idx, {S.norm("question || ' ' || answer")} AS body FROM qa),
-hit AS (SELECT DISTINCT query_id, idx, word, weight FROM form JOIN flat ON contains(body, form)),
-kr AS (SELECT query_id, idx, count(*) AS match_count, count(*) / any_value(n) AS coverage, coalesce(sum(weight) / nullif(any_value(total), 0), 0) AS idf_score FROM hit JOIN total USING (query_id) GROUP BY ALL)"""
+total AS (SELECT query_id, sum(weight) AS total, count(*) AS n FROM kw GROUP BY query_id), kwords AS (SELECT DISTINCT word FROM kw), form AS (SELECT word, unnest({_variants_sql()}) AS form FROM kwords),
+sides AS (SELECT idx, 'a' AS side, answer AS raw FROM qa UNION ALL SELECT idx, 'b', question || ' ' || answer FROM qa),
+khits AS (SELECT DISTINCT word, idx, side, 1.0 AS s FROM form JOIN (SELECT idx, side, {S.norm('raw')} AS body FROM sides) ON contains(body, form)
+  UNION ALL SELECT word, idx, side, 0.8 FROM kwords JOIN (SELECT idx, side, unnest({S.lemmas('raw')}) AS item FROM sides) ON item = {S.STEM.format(w='word')} WHERE length(item) > 2
+  UNION ALL SELECT word, idx, side, 0.3 FROM kwords JOIN (SELECT idx, side, unnest({S.stems('raw')}) AS item FROM sides) ON item = {S.STEM.format(w='word')} OR (starts_with(word, 'co') AND length(word) > 4 AND item = 'co' || {S.STEM.format(w='substr(word, 3)')})),
+kbest AS (SELECT word, idx, coalesce(max(s) FILTER (side = 'a'), max(s) FILTER (side = 'b')) AS s FROM khits GROUP BY word, idx),
+kr AS (SELECT query_id, idx, count(*) AS match_count, count(*) / any_value(n) AS coverage, coalesce(sum(weight) / nullif(any_value(total), 0), 0) AS idf_score, avg(s) AS match_quality, string_agg(word, ' ' ORDER BY word) AS matched FROM kw JOIN kbest USING (word) JOIN total USING (query_id) GROUP BY query_id, idx)"""
+RATED = "query_id, idx, match_count, round(coverage, 6) AS coverage, round(idf_score, 6) AS idf_score, round(match_quality + 1e-9, 6) AS match_quality"
 
 
-@query(S.with_qa(KEYWORDS) + "\nSELECT query_id, idx, match_count, round(coverage, 6) AS coverage, round(idf_score, 6) AS idf_score, 1.0 AS match_quality FROM kr")
-def keyword_retrieval(spark, sf_dir):
-    """Pairs in which a keyword of the query occurs, in any of its spellings."""
+def _rated(spark, sf_dir):
     out = lexical.keywords(asked(spark, sf_dir), pairs(spark, sf_dir))
-    return out.withColumns({"coverage": F.round("coverage", 6), "idf_score": F.round("idf_score", 6)})
+    return out.withColumns({"coverage": F.round("coverage", 6), "idf_score": F.round("idf_score", 6), "match_quality": F.round(F.col("match_quality") + 1e-9, 6)})
+
+
+@query(S.with_qa(KEYWORDS) + f"\nSELECT {RATED}, matched FROM kr")
+def keyword_retrieval(spark, sf_dir):
+    """Pairs that a keyword of the query matches: as a spelling, by its lemma or by its stem."""
+    return _rated(spark, sf_dir)
+
+
+@query(S.with_qa(KEYWORDS, f"rated AS (SELECT {RATED} FROM kr)") + "\nSELECT * FROM (SELECT query_id, idx, match_quality, idf_score, row_number() OVER (PARTITION BY query_id ORDER BY match_quality DESC, idf_score DESC, idx) AS rank FROM rated) WHERE rank <= 10")
+def keyword_order(spark, sf_dir):
+    """The ten pairs that match best: by quality, then by idf."""
+    out = _rated(spark, sf_dir).select("query_id", "idx", "match_quality", "idf_score")
+    return lexical.top(out, 10, F.desc("match_quality"), F.desc("idf_score"), F.asc("idx"))
 
 
 def _jac(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0 END"
 
 
-RTR = f"""kwq AS (SELECT query_id, {S.keywords('query')} AS kw, {S.words('query')} AS qw, {S.ngrams('query')} AS qg FROM ask),
+RTR = f"""{S.fuzzy('kfz', 'kr')}, kwq AS (SELECT query_id, {S.keywords('query')} AS kw, {S.words('query')} AS qw, {S.ngrams('query')} AS qg FROM ask),
 sets AS (SELECT idx, {S.words('question')} AS dq, {S.words('answer')} AS da, {S.ngrams('question')} AS gq, {S.ngrams('left(answer, 500)')} AS ga FROM qa),
-rtr AS (SELECT query_id, idx, round(0.30 * idf_score + 0.45 * len(list_intersect(kw, da)) / greatest(len(kw), 1) + 0.10 * ({_jac('qw', 'dq')}) + 0.05 * ({_jac('qw', 'da')}) + 0.05 * greatest({_jac('qg', 'gq')}, {_jac('qg', 'ga')}), 6) AS score
-  FROM kr JOIN kwq USING (query_id) JOIN sets USING (idx))"""
+rtr AS (SELECT query_id, idx, round(0.30 * idf_score + 0.45 * len(list_intersect(kw, da)) / greatest(len(kw), 1) + 0.10 * ({_jac('qw', 'dq')}) + 0.05 * ({_jac('qw', 'da')}) + 0.05 * greatest({_jac('qg', 'gq')}, {_jac('qg', 'ga')}) + 0.05 * kfz.score, 6) AS score
+  FROM kr JOIN kfz USING (query_id, idx) JOIN kwq USING (query_id) JOIN sets USING (idx))"""
 
 
-def _rtr(spark, sf_dir):
+def _rtr(spark, sf_dir, k=None):
     q, qa = asked(spark, sf_dir), pairs(spark, sf_dir)
-    return lexical.rerank(q, qa, lexical.keywords(q, qa))
+    return lexical.rerank(q, qa, lexical.keywords(q, qa), k)
 
 
 @query(S.with_qa(KEYWORDS, RTR) + f"\n{LIST} FROM ({S.ranked('rtr', 10)})")
 def rtr_search(spark, sf_dir):
     """Keyword retrieval, reranked by seven signals."""
-    return _top(_rtr(spark, sf_dir), 10)
+    return _top(_rtr(spark, sf_dir, 10), 10)
 
 
 @query(
@@ -259,25 +274,37 @@ def rrf_zero_based(spark, sf_dir):
     return lexical.top(out, 10, F.desc("score"), F.desc("idx"))
 
 
+#: Rows of each list that are merged.
+LISTED, RERANKED = 100, 2000
+
+
 def _seven(spark, sf_dir):
     q, qa = asked(spark, sf_dir), pairs(spark, sf_dir)
-    norm = _six(lexical.normalized(q, _docs(qa)))
-    own = {"rtr": _six(_rtr(spark, sf_dir)), "bm25": _six(_keyword_bm25(spark, sf_dir)), "norm": norm, "stem": norm, "cos": _semantic(spark, sf_dir, "question"), "ngram": _six(lexical.jaccard(q, _docs(qa), tx.ngrams))}
+    docs, cut = _docs(qa), lambda df, k=LISTED: _top(df, k).drop("rank")
+    combined = vector.search(q.select("query_id", vector.encode(F.col("query")).alias("vec")), qa.select("idx", vector.encode(F.concat_ws(" ", "question", "answer")).alias("vec")), LISTED)
+    own = {
+        "rtr": cut(_rtr(spark, sf_dir, RERANKED), RERANKED), "bm25": _six(_keyword_bm25(spark, sf_dir)), "norm": cut(lexical.normalized(q, docs)),
+        "stem": cut(lexical.stemmed(q, docs, tx.stem_words)), "fuzz": cut(lexical.fuzzy(q, docs, tx.ascii_words)), "cos": combined, "ngram": cut(lexical.jaccard(q, docs, tx.ngrams)),
+    }
     long = None
     for name, df in own.items():
         part = df.select("query_id", "idx", F.lit(name).alias("method"), "score")
         long = part if long is None else long.unionByName(part)
     value = lambda n: F.coalesce(F.max(F.when(F.col("method") == n, F.col("score"))), F.lit(0.0)).alias(n)
-    return long.groupBy("query_id", "idx").agg(*(value(n) for n in ("rtr", "cos", "bm25", "norm", "stem", "ngram"))).withColumn("fuzz", F.lit(0.0))
+    return long.groupBy("query_id", "idx").agg(*(value(n) for n in own))
 
 
-SEVEN = """long AS (SELECT query_id, idx, 'rtr' AS m, score FROM rtr UNION ALL SELECT query_id, idx, 'bm25', score FROM scaled UNION ALL SELECT query_id, idx, 'norm', score FROM n UNION ALL SELECT query_id, idx, 'cos', score FROM sq UNION ALL SELECT query_id, idx, 'ngram', round(inter / (nq + nd - inter), 6) FROM y),
-seven AS (SELECT query_id, idx, """ + ", ".join(f"coalesce(max(score) FILTER (m = '{m}'), 0) AS {m}" for m in ("rtr", "cos", "bm25", "norm", "ngram")) + """ FROM long GROUP BY query_id, idx),
-fam AS (SELECT *, norm AS stem, greatest(rtr, bm25) AS kw, norm AS txt, cos AS sem FROM seven WHERE (rtr > 0)::INT + (cos > 0)::INT + (bm25 > 0)::INT + 2 * (norm > 0)::INT + (ngram > 0)::INT >= 2),
-eight AS (SELECT query_id, idx, round((rtr + cos + bm25 + norm + stem + ngram) / 7 + 1e-9, 6) AS avg, round((rtr + cos + bm25 + norm + stem) / 6 + 1e-9, 6) AS avg6, round((kw + txt + sem) / 3 + 1e-9, 6) AS fam_avg, round(0.5 * kw + 0.3 * txt + 0.2 * sem + 1e-9, 6) AS fam_wt,
+SEVEN_OWN = ("rtr", "cos", "bm25", "norm", "stem", "fuzz", "ngram")
+SEVEN = f"""yr AS (SELECT query_id, idx, round(inter / (nq + nd - inter), 6) AS score FROM y), st AS (SELECT query_id, idx, round(0.5 * inter / (nq + nd - inter) + 0.5 * inter / greatest(nq, 1), 6) AS score FROM stw),
+long AS (SELECT query_id, idx, 'rtr' AS m, score FROM ({S.ranked('rtr', RERANKED)}) UNION ALL SELECT query_id, idx, 'bm25', score FROM scaled UNION ALL SELECT query_id, idx, 'norm', score FROM ({S.ranked('n', LISTED)})
+  UNION ALL SELECT query_id, idx, 'stem', score FROM ({S.ranked('st', LISTED)}) UNION ALL SELECT query_id, idx, 'fuzz', score FROM ({S.ranked('fz', LISTED)})
+  UNION ALL SELECT query_id, idx, 'cos', score FROM ({S.ranked('sb', LISTED)}) UNION ALL SELECT query_id, idx, 'ngram', score FROM ({S.ranked('yr', LISTED)})),
+seven AS (SELECT query_id, idx, """ + ", ".join(f"coalesce(max(score) FILTER (m = '{m}'), 0) AS {m}" for m in SEVEN_OWN) + """ FROM long GROUP BY query_id, idx),
+fam AS (SELECT *, greatest(rtr, bm25) AS kw, greatest(norm, stem, fuzz) AS txt, cos AS sem FROM seven WHERE """ + " + ".join(f"({m} > 0)::INT" for m in SEVEN_OWN) + """ >= 2),
+eight AS (SELECT query_id, idx, round((rtr + cos + bm25 + norm + stem + fuzz + ngram) / 7 + 1e-9, 6) AS avg, round((rtr + cos + bm25 + norm + stem + fuzz) / 6 + 1e-9, 6) AS avg6, round((kw + txt + sem) / 3 + 1e-9, 6) AS fam_avg, round(0.5 * kw + 0.3 * txt + 0.2 * sem + 1e-9, 6) AS fam_wt,
   round(CASE WHEN kw = 0 THEN 0.3 * txt + 0.2 * sem ELSE 0.5 * kw + 0.3 * txt + 0.2 * sem END + 1e-9, 6) AS kw_pen, round(CASE WHEN kw > 0 AND txt > 0 AND sem > 0 THEN pow(kw * txt * sem, 1.0 / 3) ELSE 0 END + 1e-9, 6) AS geo,
   round(0.6 * rtr + 0.2 * txt + 0.2 * sem + 1e-9, 6) AS rtr_dom, round(CASE WHEN kw > 0 AND txt > 0 AND sem > 0 THEN 3 / (1 / kw + 1 / txt + 1 / sem) ELSE 0 END + 1e-9, 6) AS harm FROM fam)"""
-ALL_SEVEN = (KEYWORDS, RTR, S.bm25(keep=KEPT), P95, S.shared("x", S.words), NORMALIZED, S.shared("y", S.ngrams), SEMANTIC_Q, SEVEN)
+ALL_SEVEN = (KEYWORDS, RTR, S.bm25(keep=KEPT), P95, S.shared("x", S.words), NORMALIZED, S.shared("y", S.ngrams), S.shared("stw", S.stems), S.shared("xa", S.ascii_words), S.fuzzy("fz", "xa"), S.semantic("sb", "question || ' ' || answer"), SEVEN)
 
 
 def _eight(spark, sf_dir):

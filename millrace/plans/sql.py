@@ -22,6 +22,35 @@ def keywords(x: str) -> str:
     return f"list_filter({words(x)}, lambda w: length(w) > 2 AND w NOT IN ({STOPS}))"
 
 
+#: The default lemma and stem of a word.
+STEM = "regexp_replace({w}, '(ies|es|s)$', '')"
+
+
+def stems(x: str) -> str:
+    return f"list_distinct(list_transform({words(x)}, lambda w: {STEM.format(w='w')}))"
+
+
+def lemmas(x: str) -> str:
+    return rf"list_distinct(list_filter(list_transform(regexp_extract_all(left(lower(coalesce({x}, '')), 2000), '[\p{{L}}\p{{N}}_]+'), lambda w: {STEM.format(w='w')}), lambda w: length(w) > 2))"
+
+
+def ascii_words(x: str) -> str:
+    return f"list_distinct(list_filter(string_split(regexp_replace({norm(x)}, '[^a-z0-9 ]', '', 'g'), ' '), lambda w: w <> ''))"
+
+
+def like(a: str, b: str) -> str:
+    return f"(1 - coalesce(levenshtein({a}, {b}) / nullif(greatest(length({a}), length({b})), 0), 0))"
+
+
+def fuzzy(name: str, pairs: str) -> str:
+    """CTEs: likeness of spelling (name: query_id, idx, score) of the pairs of a CTE."""
+    n = name
+    return f"""{n}_y AS (SELECT query_id, idx, {ascii_words('query')} AS q, {ascii_words('question')} AS d FROM {pairs} JOIN ask USING (query_id) JOIN qa USING (idx)),
+{n}_z AS (SELECT query_id, idx, array_to_string(list_sort(list_intersect(q, d)), ' ') AS c, array_to_string(list_sort(list_filter(q, lambda w: NOT list_contains(d, w))), ' ') AS qo, array_to_string(list_sort(list_filter(d, lambda w: NOT list_contains(q, w))), ' ') AS dn FROM {n}_y),
+{n}_s AS (SELECT query_id, idx, c, trim(c || ' ' || qo) AS one, trim(c || ' ' || dn) AS two FROM {n}_z),
+{n} AS (SELECT query_id, idx, round(CASE WHEN c = '' THEN 0 ELSE greatest({like('c', 'one')}, {like('c', 'two')}, {like('one', 'two')}) END, 6) AS score FROM {n}_s)"""
+
+
 def ngrams(x: str) -> str:
     s = f"replace(lower(coalesce({x}, '')), ' ', '')"
     return f"list_distinct(list_filter(list_transform(range(1, greatest(length({s}) - 1, 2)), lambda i: substr({s}, i, 3)), lambda g: length(g) = 3))"

@@ -136,3 +136,85 @@ def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def tree_of(embedded: DataFrame | None, sibling: DataFrame | None, recent: DataFrame | None) -> DataFrame | None:
+    """The first tree that has a row: the file's own, that of the file beside it, the most recent one."""
+    for tree in (embedded, sibling, recent):
+        if tree is not None and tree.limit(1).count():
+            return tree
+    return None
+
+
+def write_tree(nodes: DataFrame, path: str, domain: str) -> None:
+    """Nodes (ord, parent_ord, title, path, url, depth) as one JSON document {domain, total_nodes, tree}; children by depth, then path.
+
+    The nodes of one site; the nesting is made of one level after the other, from the leaves up.
+    """
+    rows = nodes.select("ord", "parent_ord", "title", "path", "url", "depth")
+    levels = [r["depth"] for r in rows.select("depth").distinct().orderBy(F.desc("depth")).collect()]  # a row a level
+    below, total = None, rows.agg(F.count("*").alias("total"))
+    for depth in levels:
+        own = rows.where(F.col("depth") == depth)
+        if below is None:
+            own = own.withColumn("children", F.lit("[]"))
+        else:
+            own = own.join(below, own["ord"] == below["up"], "left").withColumn("children", F.coalesce("children", F.lit("[]")))
+        text = F.concat(F.regexp_replace(F.to_json(F.struct("title", "path", "url", "depth")), r"\}$", ""), F.lit(',"children":'), "children", F.lit("}"))
+        listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "ord", text.alias("t")))), lambda x: x["t"]), ",")
+        top = own.where("parent_ord is null").select(F.lit(None).cast("long").alias("up"), "path", "ord", text.alias("t"))
+        below = own.groupBy(F.col("parent_ord").alias("up")).agg(F.concat(F.lit("["), listed, F.lit("]")).alias("children"))
+    tree = below.where("up is null").select("children") if below is not None else None
+    body = F.concat(F.regexp_replace(F.to_json(F.struct(F.lit(domain).alias("domain"), F.col("total").alias("total_nodes"))), r"\}$", ""), F.lit(',"tree":'), F.col("children") if tree is not None else F.lit("[]"), F.lit("}"))
+    (total if tree is None else total.crossJoin(tree)).select(body.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
+    """The upper level of a tree file: title, path, url, depth, and children as JSON."""
+    raw = spark.read.text(path, wholetext=True)
+    node = "array<struct<title:string,path:string,url:string,depth:int,children:string>>"
+    return raw.select(F.explode(F.from_json(F.get_json_object("value", "$.tree"), node)).alias("n")).select("n.*")
+
+
+def write_crawl(pages: DataFrame, path: str, stats: dict[str, str]) -> None:
+    """A breadth-first crawl: a JSON line a page below pages, and one of figures below stats."""
+    pages.write.mode("overwrite").json(f"{path.rstrip('/')}/pages")
+    pages.agg(F.count("*").alias("total_pages"), *(F.lit(v).alias(k) for k, v in stats.items())).write.mode("overwrite").json(f"{path.rstrip('/')}/stats")
+
+
+def preview(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """The metadata of the first of some crawl files that is there: crawl_type and the number of elements; no contents."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).exists(path):
+            raw = spark.read.text(p, wholetext=True)
+            count = F.size(F.json_object_keys(F.get_json_object("value", "$.semantic_elements")))
+            return raw.select(F.lit(p).alias("file"), F.get_json_object("value", "$.crawl_metadata.crawl_type").alias("crawl_type"), count.alias("elements"))
+    return None
+
+
+class Base:
+    """The knowledge-base file in use; it can be switched, and others deleted, with what was made from them."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.switch(path)
+
+    def switch(self, path: str) -> DataFrame:
+        """Read another file and refresh what is cached of it."""
+        self.spark.catalog.refreshByPath(path)
+        self.path, self.topics = path, read_topics(self.spark, path)
+        return self.topics
+
+    def reload(self) -> DataFrame:
+        return self.switch(self.path)
+
+    def delete(self, path: str, caches: tuple[str, ...] = ()) -> None:
+        """Delete a file and its caches; the file in use can't be."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        own = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        if own(path).getFileSystem(conf).makeQualified(own(path)).equals(own(self.path).getFileSystem(conf).makeQualified(own(self.path))):
+            raise ValueError("the file is in use")
+        for p in (path, *caches):
+            own(p).getFileSystem(conf).delete(own(p), True)

@@ -114,3 +114,51 @@ def heartbeats(stream: DataFrame, idle: str = "1 second") -> DataFrame:
 
     keyed = stream.select(F.col("event_type").alias("job")).groupBy("job")
     return keyed.applyInPandasWithState(beat, "job string, type string, seen long", "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+#: The types of events that a progress stream has.
+TYPES = ("worker_update", "item_completed", "tree_init", "heartbeat", "phase_start", "crawl_progress", "phase_complete", "batch_completed", "batch_transition")
+#: What the kinds of the events table stand for.
+NAMED = {"view": "worker_update", "click": "item_completed", "signup": "phase_start", "purchase": "batch_completed"}
+
+
+def typed(stream: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """Events with their type; one of no known kind is an error."""
+    names = names or NAMED
+    if not set(names.values()) <= set(TYPES):
+        raise ValueError("not a type of a progress stream")
+    pairs = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    return stream.withColumn("type", F.coalesce(F.try_element_at(pairs, F.col("event_type")), F.lit("error")))
+
+
+def snapshot(stream: DataFrame, made) -> DataFrame:
+    """A job's figures over its events: how far it is, items completed, pairs made (a column, of completed items), and its last event."""
+    done = F.col("event_type") == "click"
+    return stream.groupBy(F.col("user_id").alias("job")).agg(
+        F.max("event_id").alias("current"), F.count_if(done).alias("topics_completed"),
+        F.coalesce(F.sum(F.when(done, made)), F.lit(0)).alias("qa_generated"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last"),
+    )
+
+
+def stitched(batches: DataFrame) -> DataFrame:
+    """Events of a run over several batches (batch, n): each batch's end, a transition before the next, and the run's end."""
+    total = batches.agg(F.max("batch").alias("total"))
+    own = batches.crossJoin(F.broadcast(total))  # one row
+    kinds = F.array(
+        F.struct(F.lit("batch_completed").alias("type"), F.col("n").alias("n")),
+        F.when(F.col("batch") < F.col("total"), F.struct(F.lit("batch_transition").alias("type"), F.lit(None).cast("long").alias("n"))),
+        F.when(F.col("batch") == F.col("total"), F.struct(F.lit("completed").alias("type"), F.lit(None).cast("long").alias("n"))),
+    )
+    return own.select("batch", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("batch", "k.type", "k.n")
+
+
+def cancelled(spark: SparkSession, query, folder: str, save: bool) -> DataFrame | None:
+    """Stop a stream that drained() would run: the rows of the batches that it has committed, or nothing, and its folder goes."""
+    query.stop()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not save:
+        fs.delete(path, True)
+        return None
+    rows = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    return spark.read.parquet(f"{folder}/rows") if fs.exists(rows) else None
