@@ -36,7 +36,7 @@ BITS, DIM, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 8
 #: Bytes of a word that its table rows are hashed from: beginnings, and the whole of it (words are cut nowhere).
 PARTS = (4, 5, 6, 1 << 30)
 #: Rows of the sample that the network is fitted on, and bytes of their texts.
-TRAIN_ROWS, TRAIN_BYTES = 4_000, 12 << 20
+TRAIN_ROWS, TRAIN_BYTES = 6_000, 24 << 20
 EPOCHS, BATCH = 8, 32
 #: Bytes of text scored at a time; words that a filter may straddle are carried on to the next block.
 BLOCK = 1 << 20
