@@ -38,6 +38,8 @@ PARTS = (4, 5, 6, 1 << 30)
 #: Rows of the sample that the network is fitted on, and bytes of their texts.
 TRAIN_ROWS, TRAIN_BYTES = 6_000, 24 << 20
 EPOCHS, BATCH = 8, 32
+#: Share of a text's words that are left out whenever the fit meets it, so that no single word carries a label.
+DROP = 0.3
 #: Bytes of text scored at a time; words that a filter may straddle are carried on to the next block.
 BLOCK = 1 << 20
 #: Bytes of words and their embeddings that a task remembers.
@@ -118,7 +120,7 @@ class Network:
     def logit(self, blocks: Iterable[np.ndarray]) -> float:
         return float(self.peaks(blocks)[0] @ self.out + self.base)
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.05, seed: int = 9) -> None:
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.05, seed: int = 9, drop: float = DROP) -> None:
         """Adagrad; the gradient reaches only the words under each filter's maximum."""
         rng = np.random.default_rng(seed)
         weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
@@ -134,7 +136,7 @@ class Network:
                 g_base = 0.0
                 ids = order[s : s + BATCH]
                 for i in ids:
-                    rows = texts[i]
+                    rows = texts[i][rng.random(len(texts[i])) >= drop]
                     x = self.embed(rows)
                     best, where = self.peaks([x])
                     p = 1 / (1 + np.exp(-np.clip(best @ self.out + self.base, -30, 30)))
