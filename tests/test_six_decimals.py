@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from millrace import catalog
-from millrace.operators import lexical
+from millrace.operators import lexical, vector
 
 QA = [(7, "alpha beta gamma delta epsilon", "alpha beta zeta")]
 
@@ -32,3 +32,12 @@ def test_same_as_sql_in_every_decimal(spark, sf_dir, name):
     assert len(both) == len(have) == len(want)
     floats = [c for c in want.columns if c not in ("query_id", "idx")]
     assert all((both[c] - both[f"{c}_sql"]).abs().max() < 1e-9 for c in floats)
+
+
+def test_vectors_are_compared_after_rounding(spark):
+    """A cosine just below the threshold rounds up to it, and one just below the k-th is equal to it."""
+    at = lambda c: [c, (1 - c * c) ** 0.5]
+    rows = spark.createDataFrame([(1, at(0.34999960)), (2, at(0.34999940)), (3, at(0.35000010))], "idx long, vec array<double>").coalesce(1)
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vec array<double>")
+    assert sorted(r["idx"] for r in vector.search(q, rows, None, least=0.35).collect()) == [1, 3]
+    assert [r["idx"] for r in vector.search(q, rows, 1).collect()] == [1]
