@@ -183,29 +183,34 @@ def _verified(edges: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(met.select("a", "b", "ga", "gb").mapInArrow(exact, "a long, b long"))
 
 
-def _compared(token: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of the pairs of one token and of two roots that size and sketch let pass; rows come by token and n."""
+def _compared(token: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, left: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the pairs of one token and of two roots that size, place and sketch let pass; rows come by token and n.
+
+    left counts a set's members from the token on, in the order of all. At the first that two sets share they have no more in common
+    than the lesser of these, so a similar pair passes there, and one that meets too late for a similarity of 0.8 need not pass.
+    """
     at, k = np.arange(len(token)), 0
     while len(at):
         k += 1
         at = at[at + k < len(token)]
         at = at[(token[at] == token[at + k]) & (5 * n[at] >= 4 * n[at + k])]
-        one = at[root[at] != root[at + k]]
+        one = at[(root[at] != root[at + k]) & (9 * np.minimum(left[at], left[at + k]) >= 4 * (n[at] + n[at + k]))]
         one = one[~_far(bits[one], bits[one + k], n[one] + n[one + k])]
         if len(one):
             yield np.minimum(key[one], key[one + k]), np.maximum(key[one], key[one + k])
 
 
 def _across(posts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (token, key, root, n, sketch) that share a token, not a root."""
+    """Pairs (a, b) of rows (token, key, root, n, at, sketch) that share a token (at place at in the order), not a root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def pairs() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
-            cols = [t.column(k).to_numpy() for k in range(4)]
-            for a, b in _compared(*cols[:3], cols[3].astype(np.int64), _bits(t.column(4))):
+            cols = [t.column(k).to_numpy() for k in range(5)]
+            n = cols[3].astype(np.int64)
+            for a, b in _compared(*cols[:3], n, n - cols[4], _bits(t.column(5))):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
@@ -226,7 +231,7 @@ def _across(posts: DataFrame) -> DataFrame:
             yield from pairs()
 
     bounded(posts.sparkSession)
-    rows = posts.select("token", "key", "root", "n", "sketch").repartition("token").sortWithinPartitions("token", "n")
+    rows = posts.select("token", "key", "root", "n", "at", "sketch").repartition("token").sortWithinPartitions("token", "n")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -239,12 +244,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = stored(_rows(docs))
     lead = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("tag").alias("tag"))
     info = stored(rows.groupBy("key").agg(F.min(lead).alias("least"), F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")))
-    postings = rows.select("key", F.explode("prefix").alias("token"))
+    postings = rows.select("key", F.posexplode("prefix").alias("at", "token"))
     shared = postings.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token", "lo")
-    posts = stored(postings.join(shared, "token").select("token", "key", "lo"))
+    posts = stored(postings.join(shared, "token").select("token", "key", "lo", "at"))
     stars = _verified(posts.where("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct(), info, docs)
     found = stored(components(stars))
-    placed = posts.join(found, posts.key == found.node, "left").select("token", "key", F.coalesce("root", "key").alias("root"))
+    placed = posts.join(found, posts.key == found.node, "left").select("token", "key", "at", F.coalesce("root", "key").alias("root"))
     parted = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     rest = placed.join(parted, "token", "left_semi").join(info.select("key", "n", "sketch"), "key")
     found = components(stars.union(_verified(_across(rest), info, docs)))
