@@ -95,7 +95,7 @@ def porter_search(spark, sf_dir):
 @query(S.with_qa(S.shared("x", S.ascii_words), S.fuzzy("r", "x")) + f"\n{LIST} FROM ({S.ranked('r', 10)})")
 def fuzzy_search(spark, sf_dir):
     """Likeness of spelling of query and question, over ASCII letters and digits."""
-    return _top(lexical.fuzzy(asked(spark, sf_dir), _docs(pairs(spark, sf_dir)), tx.ascii_words), 10)
+    return _top(lexical.fuzzy_nearest(asked(spark, sf_dir), _docs(pairs(spark, sf_dir)), 10), 10)
 
 
 @query(

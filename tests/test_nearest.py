@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import lexical
+from millrace.operators import lexical, spelling
 
 
 def test_blocks_find_the_same_rows(spark, monkeypatch):
@@ -24,3 +24,34 @@ def test_blocks_find_the_same_rows(spark, monkeypatch):
         assert first(lexical.jaccard_nearest(q, docs, tx.words, 5)) == first(lexical.jaccard(q, docs, tx.words))
     few = lexical.jaccard_nearest(q, docs, tx.words, 5).count()
     assert few < lexical.jaccard(q, docs, tx.words).count()
+
+
+def test_distances_of_any_length():
+    rng = random.Random(1)
+    text = lambda *n: bytes(rng.choice(b"abc d") for _ in range(rng.choice(n)))
+    one, two = [text(0, 1, 5, 63, 64, 65, 128, 129) for _ in range(60)], [text(0, 1, 7, 64, 100) for _ in range(60)]
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    assert spelling.distances(one, two).tolist() == [plain(a, b) for a, b in zip(one, two)]
+
+
+def test_spellings_in_blocks_as_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice("the a of oxen pigs hens cows elk bees ants flies Zoë".split()) for _ in range(rng.randrange(1, 9)))
+    docs = spark.createDataFrame([(k, text()) for k in range(60)] + [(60, None)], "idx long, text string")
+    q = spark.createDataFrame([(k, text()) for k in range(20)] + [(20, "")], "query_id long, query string")
+    monkeypatch.setattr(lexical, "FUZZY_BLOCK", (7, 25))
+
+    def first(df):
+        return sorted(map(tuple, lexical.top(df.withColumn("score", F.round("score", 6)), 5, F.desc("score"), F.asc("idx")).select("query_id", "rank", "idx", "score").collect()))
+
+    assert first(lexical.fuzzy_nearest(q, docs, 5)) == first(lexical.fuzzy(q, docs, tx.ascii_words))
+    assert first(lexical.normalized_nearest(q, docs, 5)) == first(lexical.normalized(q, docs))
+    assert first(lexical.stemmed_nearest(q, docs, tx.stem_words, 5)) == first(lexical.stemmed(q, docs, tx.stem_words))
