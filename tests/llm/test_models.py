@@ -254,3 +254,60 @@ def test_pipeline_runs(spark, sf_dir):
     assert 0 < len(got) < len(text)
     for r, x in zip(got, brute.bpe([text[r["doc_id"]] for r in got], Q.tokenizer_path())):
         assert (r["n_tokens"], r["ids_sha256"]) == x[:2]
+
+
+def test_lm_reads_along_the_text(spark):
+    """The order of words counts: contexts cross the borders of tokens, and the score is the mixed bits' sum."""
+    rng = np.random.default_rng(4)
+    follow = rng.permutation(40)
+    word = [f"w{k:02d}" for k in range(40)]
+
+    def text(n):
+        k, out = int(rng.integers(40)), []
+        for _ in range(n):
+            out.append(word[k])
+            k = int(follow[k]) if rng.random() < 0.95 else int(rng.integers(40))
+        return out
+
+    docs = [(k, " ".join(text(60))) for k in range(300)]
+    plain = text(60)
+    shuffled = [plain[k] for k in rng.permutation(60)]
+    held = [k for k in range(300, 400) if brute.bucket(k, 7) == 2][:2]
+    docs += [(held[0], " ".join(plain)), (held[1], " ".join(shuffled))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in context_mixing.scored(frame, context_mixing.F.pmod(context_mixing.F.crc32(context_mixing.F.col("doc_id").cast("string")), context_mixing.F.lit(7)) == 2).collect()}
+    one, two = (got[k] for k in held)
+    assert one["base_score"] == pytest.approx(two["base_score"]) and one["held_out"] and two["held_out"]
+    assert one["score"] > two["score"] + 20
+
+
+def lm_of(texts):
+    code = context_mixing.Code(texts)
+    tables = context_mixing.sized(sum(map(len, texts)))
+    model = context_mixing.Mixer(context_mixing.counted(iter(texts), tables, code), code=code)
+    for b, _ in context_mixing.blocks(iter(texts), tables, code):
+        model.step(b)
+    return model.settle()
+
+
+def test_lm_bits_of_grown_codes_are_a_distribution():
+    """After text that crosses tokens, all next bytes share a probability of no more than one."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 102, rng.integers(1, 5)).astype(np.uint8)) for _ in range(30)]
+    texts = [context_mixing.spelled([words[k] for k in rng.integers(0, 30, 50)]) for _ in range(60)]
+    model = lm_of(texts)
+    assert model.code.tree.max() > 0
+    for begin in (b"", b"a", texts[0][:41], texts[1][:60] + b"zq"):
+        less = model.texts([begin])[0] if begin else 0.0
+        share = 10 ** (model.texts([begin + bytes([x]) for x in range(256)]) - less)
+        assert 0.9 < share.sum() <= 1 + 1e-6
+
+
+def test_lm_pieces_of_a_long_text():
+    texts = [context_mixing.spelled([b"ab%d" % (k % 7) for k in range(9_000)]), context_mixing.spelled([b"x" * 70_000, b"y"])]
+    for t in texts:
+        got = list(context_mixing.pieces(t))
+        assert len(got) > 1 and b"".join(p[lead:] for p, lead in got) == t
+    model = lm_of(texts)
+    assert np.isfinite(model.texts(texts)).all()
+    assert model.texts(texts)[1] == model.texts(texts[1:])[0]
