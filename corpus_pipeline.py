@@ -38,7 +38,10 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by pairs whose five-word shingles have a Jaccard similarity of 0.8 or more, one stays: the smallest id, null last (rows that share id and text stay together)."""
+    """Of documents linked by pairs whose five-word shingles have a Jaccard similarity of 0.8 or more, one stays: the smallest id, null last (rows that share id and text stay together).
+
+    The trees of fingerprints find the first links, all checked exactly; a join adds those beyond their bits.
+    """
     groups = set_join.near_groups(docs)
     dropped = groups.where("not stays").select(F.col("doc_id").alias("gone"), F.col("tag").alias("gone_tag")).distinct()
     (tag,) = fresh(docs, "tag")

@@ -1,9 +1,13 @@
 """Near copies by the Jaccard similarity of word shingles, found without loss.
 
+Fingerprints come first: those that the vantage-point trees of simhash link, at its
+bits, are candidates, and the exact check below keeps the similar ones. Most similar
+pairs lie beyond those bits, so a join completes the links.
+
 Shingles have one order: those that a sample finds in many documents come last,
 the others go by hash. Two sets with a similarity of 0.8 share a shingle among
 the first fifth of each, whatever the order, so only those are joined on. Rows
-that share one are linked to the row with the smallest key first; then every two
+that share one and that the trees have not connected are linked to the row with the smallest key; then every two
 of them that are not yet connected are compared. Sizes and parity sketches (whose
 differing bits are no more than the differing shingles; a larger set has a wider
 one) rule pairs out, never in: what is left is compared shingle by shingle. So the components are those of all
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import annotate, bounded, stored, texts_of
-from .simhash import components
+from .simhash import components, fingerprint, links
 
 #: Words of a shingle.
 WORDS = 5
@@ -105,7 +109,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (of the text), key (of the set), n, sketch and the prefix of each document."""
+    """doc_id, tag (of the text), key (of the set), n, sketches, the prefix and the fingerprint of each document."""
     order = docs.sparkSession.sparkContext.broadcast(_common(docs))  # no more than COMMON entries
 
     def start():
@@ -118,11 +122,12 @@ def _rows(docs: DataFrame) -> DataFrame:
                 pa.array([sketch(s) for s in sets], pa.binary()),
                 pa.array([wide(s) for s in sets], pa.binary()),
                 pa.array([prefix(s, *order.value).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                pa.array(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)),
             ]
 
         return work
 
-    fields = [("key", T.LongType()), ("n", T.IntegerType()), ("sketch", T.BinaryType()), ("wide", T.BinaryType()), ("prefix", T.ArrayType(T.LongType()))]
+    fields = [("key", T.LongType()), ("n", T.IntegerType()), ("sketch", T.BinaryType()), ("wide", T.BinaryType()), ("prefix", T.ArrayType(T.LongType())), ("fp", T.LongType())]
     return annotate(docs.withColumn("tag", F.xxhash64("text")), start, fields, keep_text=False)
 
 
@@ -183,6 +188,15 @@ def _verified(edges: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(met.select("a", "b", "ga", "gb").mapInArrow(exact, "a long, b long"))
 
 
+def _treed(info: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between keys whose fingerprints the vantage-point trees link and whose sets are similar."""
+    lead = stored(info.groupBy("fp").agg(F.min("key").alias("lead")))
+    same = info.join(lead, "fp").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    of = lambda c: lead.select(F.col("fp").alias(c), F.col("lead").alias(f"k{c}"))
+    near = links(lead.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    return _verified(stored(same.union(near).distinct()), info, docs)
+
+
 def _compared(token: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, left: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Keys of the pairs of one token and of two roots that size, place and sketch let pass; rows come by token and n.
 
@@ -243,11 +257,16 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = stored(_rows(docs))
     lead = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("tag").alias("tag"))
-    info = stored(rows.groupBy("key").agg(F.min(lead).alias("least"), F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")))
+    info = stored(rows.groupBy("key").agg(F.min(lead).alias("least"), F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.min("fp").alias("fp")))
     postings = rows.select("key", F.posexplode("prefix").alias("at", "token"))
     shared = postings.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token", "lo")
     posts = stored(postings.join(shared, "token").select("token", "key", "lo", "at"))
-    stars = _verified(posts.where("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct(), info, docs)
+    treed = _treed(info, docs)
+    roots = stored(components(treed))
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    stars = posts.where("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct()
+    stars = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    stars = treed.union(_verified(stars, info, docs))
     found = stored(components(stars))
     placed = posts.join(found, posts.key == found.node, "left").select("token", "key", "at", F.coalesce("root", "key").alias("root"))
     parted = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from millrace.llm import set_join
+from millrace.llm import set_join, simhash
 
 
 def grams(text):
@@ -86,3 +86,21 @@ def test_sketches_of_any_size_rule_out_only_unlike_sets():
         apart = set_join._apart([best(x) for x, _ in pairs], [best(y) for _, y in pairs], np.array([len(x) + len(y) for x, y in pairs]))
         assert all(not out for out, p in zip(apart, pairs) if set_join.similar(*p))
         assert n < 100 or apart.tolist() == [False, True, False]
+
+
+def test_links_come_from_the_trees_and_are_checked(spark, monkeypatch):
+    """Close fingerprints link similar sets, also without the join; unlike sets are not linked by theirs."""
+    rng = random.Random(8)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(3_000)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text, "end"])), (3, " ".join(f"v{rng.randrange(10**6)}" for _ in range(3_000)))]
+    # Equal fingerprints, as all three-word shingles are equal, and no five-word shingle in common.
+    rows += [(4, "a a a a"), (5, "a a a a a a a")]
+    fps = {d: simhash.fingerprint(t.encode()) for d, t in rows}
+    assert (fps[1] ^ fps[2]).bit_count() <= simhash.LINK and fps[4] == fps[5]
+    asked = []
+    real = set_join.links
+    monkeypatch.setattr(set_join, "links", lambda values: asked.append(1) or real(values))
+    monkeypatch.setattr(set_join, "prefix", lambda hashes, *_: hashes[:0])  # nothing to join on
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in set_join.near_groups(docs).collect()}
+    assert asked and got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
