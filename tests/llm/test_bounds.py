@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -214,3 +215,24 @@ def test_a_huge_row_does_not_empty_the_sample(spark):
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), rows=50, size=200_000)
     bad, good = model.scorer()([b"bad thing", b"good thing"])
     assert bad > 0.5 > good
+
+
+def test_workers_hand_memory_back(spark):
+    """What a task needed goes back to the system with its end, and Parquet's texts come in short batches."""
+
+    def start():
+        def work(texts):
+            many = [pa.array(np.arange(500, dtype=np.int64) + k) for k in range(60_000)]  # 240 MB, in small blocks
+            return [pa.array([len(many)] * len(texts))]
+
+        return work
+
+    def held(batches):
+        for b in batches:
+            anon = re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())
+            yield pa.RecordBatch.from_arrays([pa.array([int(anon[1]) >> 10] * b.num_rows)], names=["mb"])
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1)
+    assert common.annotate(docs, start, [("n", common.T.LongType())]).first()["n"] == 60_000
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+    assert max(r["mb"] for r in spark.range(40).repartition(8).mapInArrow(held, "mb long").collect()) < 200
