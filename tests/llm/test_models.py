@@ -311,3 +311,21 @@ def test_lm_pieces_of_a_long_text():
     model = lm_of(texts)
     assert np.isfinite(model.texts(texts)).all()
     assert model.texts(texts)[1] == model.texts(texts[1:])[0]
+
+
+def test_lm_nodes_of_a_context_lie_together():
+    """The bits after one context share a stretch of the table and never a slot, so a block's look-ups stay near each other."""
+    rng = np.random.default_rng(6)
+    texts = [context_mixing.spelled([bytes(rng.integers(97, 123, 4).astype(np.uint8)) for _ in range(400)]) for _ in range(20)]
+    code = context_mixing.Code(texts)
+    begin = texts[0][:31]
+    b = context_mixing.Bytes([begin + bytes([x]) for x in range(256)], np.zeros(256), lead=np.full(256, 31), code=code)
+    used = [{} for _ in context_mixing.TABLES]
+    for live, slots, bit in b.steps():
+        for own, s in zip(used, slots):
+            for at, slot in zip(live.tolist(), s.tolist()):
+                own.setdefault(int(b.flat[at]), set()).add(slot)
+    for own in used:
+        every = set().union(*own.values())
+        assert len(own) == 256 and len({s >> 10 for s in every}) == 1
+        assert len(every) == len(set().union(*({n for n in code.nodes[:, r]} for r in b.coded()[1])) - {0})
