@@ -329,3 +329,8 @@ def test_lm_nodes_of_a_context_lie_together():
         every = set().union(*own.values())
         assert len(own) == 256 and len({s >> 10 for s in every}) == 1
         assert len(every) == len(set().union(*({n for n in code.nodes[:, r]} for r in b.coded()[1])) - {0})
+
+
+def test_lm_texts_are_spelled_alike():
+    for t in (b"", b" \t ", b"A  b\r\nC\x0bd ", b"a\x1cb c", "É x".encode()):
+        assert context_mixing.along(t) == context_mixing.spelled(context_mixing.tokens_of(t))
