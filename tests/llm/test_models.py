@@ -334,3 +334,52 @@ def test_lm_nodes_of_a_context_lie_together():
 def test_lm_texts_are_spelled_alike():
     for t in (b"", b" \t ", b"A  b\r\nC\x0bd ", b"a\x1cb c", "É x".encode()):
         assert context_mixing.along(t) == context_mixing.spelled(context_mixing.tokens_of(t))
+
+
+def test_lm_codes_see_three_bytes():
+    """Where the third byte before decides on the next, a code of its own needs one bit for it."""
+    rng = np.random.default_rng(7)
+    words = [x + b"mm" + y * 3 for x, y in zip((b"a", b"b", b"c", b"d"), (b"w", b"x", b"y", b"z"))]
+    texts = [context_mixing.spelled([words[k] for k in rng.integers(0, 4, 400)]) for _ in range(20)]
+    code = context_mixing.Code(texts)
+    b = context_mixing.Bytes(texts, np.zeros(len(texts)), lead=np.zeros(len(texts), np.int64), code=code)
+    live, row, _, longer = b.coded()
+    flat, size = b.flat[live], code.sizes[row]
+    assert set(size[np.isin(flat, list(b"wxyz"))].tolist()) == {1}
+    assert sum(longer) < 1.5 * len(b.live)
+
+
+def test_lm_bits_to_predict(spark):
+    """The work grows with the bits that are left to predict: on other texts than the sampled ones 2.9 a byte with codes of two bytes."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 1300").orderBy("doc_id").select("text").collect()
+    texts = [context_mixing.along((r[0] or "").encode()) for r in rows]
+    code = context_mixing.Code(texts[:900])
+    bits = seen = 0
+    for b, _ in context_mixing.blocks(iter(texts[900:]), context_mixing.TABLES, code):
+        bits, seen = bits + sum(b.coded()[3]), seen + len(b.live)
+    assert seen and bits < 2.8 * seen
+
+
+def test_lm_slots_take_a_byte():
+    """Counting, learning and scoring look at random slots: their tables are small, and small counts are kept exactly."""
+    texts = [context_mixing.spelled([b"ab", b"ba", b"abc"] * 40)]
+    code = context_mixing.Code(texts)
+    model = context_mixing.Mixer(context_mixing.counted(iter(texts), (12,) * 4, code), code=code)
+    assert all(x.dtype == np.uint8 for x in model.states)
+    odds, _ = context_mixing._odds(0.3)
+    for zero, one in ((0, 0), (3, 1), (0, 14), (9, 5)):
+        state = context_mixing._STATES[zero | one << 8]
+        assert odds[0, state] == pytest.approx(math.log((one + 0.3) / (zero + 0.3)))
+        if one:
+            assert odds[2, state] == pytest.approx(math.log((one - 0.7) / (zero + 0.3)))
+    large = np.array([(z, o) for z in range(0, 256, 5) for o in range(0, 256, 5) if z + o > 14])
+    got = odds[0, context_mixing._STATES[large[:, 0] | large[:, 1] << 8]]
+    assert np.abs(1 / (1 + np.exp(-got)) - (large[:, 1] + 0.3) / (large.sum(1) + 0.6)).max() < 0.05
+
+
+def test_lm_parts_tokens():
+    texts = [context_mixing.along(t) for t in (b"", b" a  bb\tA ", b"", "É x".encode(), b"x" * 9)]
+    got = context_mixing.parted(texts).to_pylist()
+    assert got == [w for t in texts for w in [*t.split(), b""]]
+    assert [t.count(b" ") for t in texts] == [len(t.split()) + 1 for t in texts]
+    assert len(context_mixing.parted([])) == 0
