@@ -55,3 +55,35 @@ def test_spellings_in_blocks_as_pair_by_pair(spark, monkeypatch):
     assert first(lexical.fuzzy_nearest(q, docs, 5)) == first(lexical.fuzzy(q, docs, tx.ascii_words))
     assert first(lexical.normalized_nearest(q, docs, 5)) == first(lexical.normalized(q, docs))
     assert first(lexical.stemmed_nearest(q, docs, tx.stem_words, 5)) == first(lexical.stemmed(q, docs, tx.stem_words))
+
+
+def test_most_pairs_need_no_distance(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(300)] + ["the"] * 60
+    texts = [sorted({"the", *(rng.choice(vocabulary) for _ in range(rng.randrange(2, 40)))}) for _ in range(900)]
+    asked = [sorted(rng.sample(t, max(1, len(t) - 2))) for t in texts[:12]] + [["the"]]
+    table = lambda key, rows: pa.table({key: list(range(len(rows))), "n": [len(r) for r in rows], "items": rows, "weights": [[1.0] * len(r) for r in rows]})
+    whole, looked = spelling._within, []
+    monkeypatch.setattr(spelling, "_within", lambda one, a, *x: looked.append(len(a)) or whole(one, a, *x))
+
+    def exact(q, d):
+        both = set(q) & set(d)
+        n, one, two = len(" ".join(sorted(both))), *("".join(" " + w for w in x if w not in both).encode() for x in (q, d))
+        shorter, longer = sorted((len(one), len(two)))
+        return max(n / (n + shorter), 1 - int(spelling.distances([one], [two])[0]) / (n + longer)) if both else 0.0
+
+    got = lexical._block(table("query_id", asked), table("idx", texts), 5, 0.0, None).to_pylist()
+    assert sum(looked) < 0.8 * len(asked) * len(texts)
+    for i, q in enumerate(asked):
+        own = sorted(((-round(r["score"], 6), r["idx"]) for r in got if r["query_id"] == i))[:5]
+        assert own == sorted((-round(exact(q, d), 6), k) for k, d in enumerate(texts))[:5]
+
+
+def test_many_queries_are_dealt_to_several_tasks(spark):
+    q = spark.range(1300).select(F.col("id").alias("query_id"), F.concat(F.lit("ox "), F.col("id").cast("string")).alias("query"))
+    docs = spark.createDataFrame([(0, "ox"), (1, "an ox")], "idx long, text string")
+    for found in (lexical.jaccard_nearest(q, docs, tx.words, 5), lexical.fuzzy_nearest(q, docs, 5)):
+        assert found.groupBy(F.spark_partition_id()).count().count() > 1
+        assert found.count() == 2600
